@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.fixed_values import BM25_B, BM25_IDF_FLOOR, BM25_K1, STOP_WORDS
 from palimpsest.functions.text import folded, py_tokens, tokens
+from palimpsest.operators.once import computed_once
 
 POSTING_BUCKETS = 256
 
@@ -88,7 +89,7 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
     names = [f"_words_{t}" for t in texts]
 
     def with_words(df: DataFrame) -> DataFrame:
-        return df.withColumns({n: tokens(F.col(t)) for n, t in zip(names, texts)})
+        return computed_once(df, {n: tokens(F.col(t)) for n, t in zip(names, texts)})
 
     words = [F.col(n) for n in names]
     hits = [_occurrences(words, p) for p in phrases]
@@ -101,15 +102,13 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
     )
     stats = counted.scalar()
     haystack = F.concat_ws(" ", *[folded(F.col(t)) for t in texts])
-    candidates = rows.where(
-        _all([F.contains(haystack, F.lit(w)) for w in sorted({w for p in phrases for w in p})])
-    )
+    candidates = computed_once(rows, {"_haystack": haystack}).where(
+        _all([F.contains("_haystack", F.lit(w)) for w in sorted({w for p in phrases for w in p})])
+    ).drop("_haystack")
     frequency = [F.col(f"_f{i}") for i in range(len(phrases))]
+    counts = {**{f"_f{i}": h for i, h in enumerate(hits)}, "_length": _total_size(words)}
     return (
-        with_words(candidates)
-        .withColumns(
-            {**{f"_f{i}": h for i, h in enumerate(hits)}, "_length": _total_size(words)}
-        )
+        computed_once(with_words(candidates), counts)
         .drop(*names)
         .where(_all([f > 0 for f in frequency]))
         .withColumn(

@@ -19,6 +19,7 @@ from palimpsest.functions.paths import (
 )
 from palimpsest.functions.secrets import redact
 from palimpsest.functions.text import strip, without_system_tags
+from palimpsest.operators.once import computed_once
 
 # Bytes of a file that one numbering group covers.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -73,10 +74,13 @@ def time_in_text(text: Column) -> Column:
 
 def parse_raw(lines: DataFrame) -> DataFrame:
     """Every line holding a JSON object, as a variant; overlong lines are dropped."""
+    value = F.col("value")
     return (
-        lines.withColumn("value", strip(F.col("value")))
-        .where((F.col("value") != "") & (F.char_length("value") <= MAX_RAW_LINE_CHARS))
-        .withColumn("entry", F.try_parse_json("value"))
+        computed_once(
+            lines.withColumn("value", strip(value)),
+            {"entry": F.try_parse_json("value")},
+            keep=(value != "") & (F.char_length("value") <= MAX_RAW_LINE_CHARS),
+        )
         .where(F.col("entry").isNotNull())
         .drop("value")
     )
@@ -86,52 +90,65 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """(path, offset, value) lines to the messages worth keeping.
 
     Order matters: tags are stripped before secrets are redacted, and noise is
-    judged on the redacted text. Each step is a projection or filter on its own,
-    so no expression is computed twice.
+    judged on the redacted text.
     """
     entry = F.col("entry")
-    opened = (
-        lines.withColumn("value", strip(F.col("value")))
-        .where(F.col("value") != "")
-        .withColumn("entry", F.try_parse_json("value"))
-        .where(F.col("entry").isNotNull())
-        .withColumns(
-            {
-                "_type": F.try_variant_get(entry, "$.type", "string"),
-                "_message": F.try_variant_get(entry, "$.message", "variant"),
-            }
-        )
-    )
-    wrapped = F.col("_type") == "message"
-    tool = F.col("_type").isin("user", "assistant") & F.col("_message").isNotNull()
-    legacy = (
-        F.col("_type").isNull()
-        & F.try_variant_get(entry, "$.role", "variant").isNotNull()
-        & F.try_variant_get(entry, "$.content", "variant").isNotNull()
+    opened = computed_once(
+        lines.withColumn("value", strip(F.col("value"))),
+        {"entry": F.try_parse_json("value")},
+        keep=F.col("value") != "",
+    ).drop("value")
+    members = computed_once(
+        opened,
+        {
+            "_type": F.try_variant_get(entry, "$.type", "string"),
+            "_message": F.try_variant_get(entry, "$.message", "variant"),
+            "_role": F.try_variant_get(entry, "$.role", "string"),
+            "_content": F.try_variant_get(entry, "$.content", "variant"),
+            "_timestamp": entry_time(entry),
+        },
+        keep=entry.isNotNull(),
+    ).drop("entry")
+    message, kind = F.col("_message"), F.col("_type")
+    shape = (
+        F.when(kind == "message", "message")
+        .when(kind.isin("user", "assistant") & message.isNotNull(), "tool")
+        .when(kind.isNull() & F.col("_role").isNotNull() & F.col("_content").isNotNull(), "legacy")
     )
-    shaped = opened.withColumn(
-        "_shape", F.when(wrapped, "message").when(tool, "tool").when(legacy, "legacy")
-    ).where(F.col("_shape").isNotNull())
-    inner_role = F.try_variant_get("_message", "$.role", "string")
-    shape = F.col("_shape")
-    voiced = shaped.withColumns(
+    shaped = computed_once(
+        members,
+        {
+            "_shape": shape,
+            "_inner_role": F.try_variant_get(message, "$.role", "string"),
+            "_inner_content": F.try_variant_get(message, "$.content", "variant"),
+        },
+    ).drop("_message")
+    legacy = F.col("_shape") == "legacy"
+    voiced = computed_once(
+        shaped,
         {
-            "role": F.when(shape == "message", inner_role)
-            .when(shape == "tool", F.coalesce(inner_role, "_type"))
-            .otherwise(F.try_variant_get(entry, "$.role", "string")),
-            "_content": F.when(shape == "legacy", F.try_variant_get(entry, "$.content", "variant")).otherwise(
-                F.try_variant_get("_message", "$.content", "variant")
-            ),
-        }
-    ).where(F.col("role").isNotNull() & ~F.col("role").isin(TOOL_RESULT_ROLES))
-    texts = voiced.withColumn("content", strip(content_text(F.col("_content")))).where(F.col("content") != "")
-    untagged = texts.withColumn(
-        "content", F.when(shape == "tool", without_system_tags(F.col("content"))).otherwise(F.col("content"))
-    ).where(F.col("content") != "")
-    clean = untagged.withColumn("content", redact(F.col("content"))).where(~is_noise(F.col("content")))
-    return clean.select(
+            "role": F.when(legacy, F.col("_role"))
+            .when(F.col("_shape") == "tool", F.coalesce("_inner_role", "_type"))
+            .otherwise(F.col("_inner_role")),
+            "_body": F.when(legacy, F.col("_content")).otherwise(F.col("_inner_content")),
+        },
+        keep=F.col("_shape").isNotNull(),
+    ).drop("_type", "_role", "_content", "_inner_role", "_inner_content")
+    spoken = F.col("role").isNotNull() & ~F.col("role").isin(TOOL_RESULT_ROLES)
+    texts = computed_once(voiced, {"content": strip(content_text(F.col("_body")))}, spoken).drop("_body")
+    untagged = computed_once(
+        texts,
+        {
+            "content": F.when(
+                F.col("_shape") == "tool", without_system_tags(F.col("content"))
+            ).otherwise(F.col("content"))
+        },
+        keep=F.col("content") != "",
+    )
+    clean = computed_once(untagged, {"content": redact(F.col("content"))}, F.col("content") != "")
+    return clean.where(~is_noise(F.col("content"))).select(
         "path", "offset", "role", "content",
-        F.coalesce(entry_time(entry), time_in_text(F.col("content"))).alias("timestamp"),
+        F.coalesce("_timestamp", time_in_text(F.col("content"))).alias("timestamp"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.fixed_values import LINE_CONTEXT, LINE_FINGERPRINT_CHARS, LINE_WINDOW
 from palimpsest.functions.text import right_strip
+from palimpsest.operators.once import computed_once
 
 
 def split_lines(text: Column) -> Column:
@@ -51,19 +52,17 @@ def find_lines(files: DataFrame, query: str, context: int = LINE_CONTEXT) -> Dat
         return F.slice(lines, start, at + after - start + 1)
 
     low, raw = F.col("_low"), F.col("_lines")
-    candidates = (
-        files.where(every(F.lower("content")))
-        .withColumns({"_low": split_lines(F.lower("content")), "_lines": split_lines(F.col("content"))})
-        .withColumn(
-            "_at",
-            F.filter(
-                F.sequence(F.lit(1), F.size("_low")),
-                lambda i: some(F.get(low, i - 1))
-                & every(F.array_join(around(low, i, reach, reach), " ")),
-            ),
-        )
-        .where(F.size("_at") > 0)
+    lowered = computed_once(files.select("path", "agent", "content"), {"_text": F.lower("content")})
+    split = computed_once(
+        lowered,
+        {"_low": split_lines(F.col("_text")), "_lines": split_lines(F.col("content"))},
+        keep=every(F.col("_text")),
+    ).drop("_text", "content")
+    at = F.filter(
+        F.sequence(F.lit(1), F.size("_low")),
+        lambda i: some(F.get(low, i - 1)) & every(F.array_join(around(low, i, reach, reach), " ")),
     )
+    candidates = computed_once(split, {"_at": at})
     hit = F.transform(
         F.col("_at"),
         lambda i: F.struct(

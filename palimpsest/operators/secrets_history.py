@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.fixed_values import REDACTION_SAMPLE_IDS
 from palimpsest.functions.secrets import family_counts, redact
+from palimpsest.operators.once import computed_once
 
 
 def changed_rows(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, before, after) of the rows that redaction changes."""
-    return (
-        rows.where(F.col(text) != "")
-        .select(row_id, F.col(text).alias("before"), redact(F.col(text)).alias("after"))
-        .where(F.col("before") != F.col("after"))
+    texts = rows.select(row_id, F.col(text).alias("before")).where(F.col("before") != "")
+    return computed_once(texts, {"after": redact(F.col("before"))}).where(
+        F.col("before") != F.col("after")
     )
 
 
