@@ -50,14 +50,32 @@ REDACTION_PATTERNS = [
     (r"(?i)(://[^:]+):([^@]{6,})@", 2),
 ]
 
-# Lower-case literals of which at least one occurs in any text a pattern above
-# can match (checked before the patterns run).
+# Lower-case literals for each pattern above, in the same order: a text that the
+# pattern matches holds at least one of them.
 REDACTION_TRIGGERS = [
-    "gocspx-", ".apps.googleusercontent.com", "tskey-", "akia", "secret",
-    "api_key", "api-key", "apikey", "token", "bearer", "authorization", "pass",
-    "pwd", "private key-----", "xox", "ghp_", "ghs_", "github_pat_", "sk-",
-    "sk_", "pk_", "sg.", "://", "ſ", "ı", "\u0307",
+    ["gocspx-"],
+    [".apps.googleusercontent.com"],
+    ["tskey-"],
+    ["akia"],
+    ["secret"],
+    ["api_", "api-", "apik", "apis", "secret", "token", "bearer"],
+    ["authorization", "token"],
+    ["pass", "pwd"],
+    ["cookie"],
+    ["private key-----"],
+    ["xox"],
+    ["ghp_", "ghs_"],
+    ["github_pat_"],
+    ["sk-"],
+    ["sk-ant-"],
+    ["sk_"],
+    ["pk_"],
+    ["sg."],
+    ["://"],
 ]
+# Letters that equal s or i when case is ignored but do not become s or i in lower
+# case (the last is what lower case leaves of a dotted capital I).
+CASE_SPECIALS = ["ſ", "ı", "\u0307"]
 
 # --- fixed values: named secret families, counted case-insensitively ---------
 SECRET_FAMILIES = {

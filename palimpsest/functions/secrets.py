@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.fixed_values import (
+    CASE_SPECIALS,
     REDACTION_PATTERNS,
     REDACTION_PLACEHOLDER,
     REDACTION_TRIGGERS,
@@ -77,24 +78,33 @@ def load_custom_patterns(lines: Iterable[str]) -> list[tuple[str, int]]:
     return kept
 
 
+# Stands in for a pattern that cannot match a row; found nowhere, and fast to look for.
+_NOWHERE = "\uffff" * 16
+
+
 def redact(text: Column, custom: Iterable[tuple[str, int]] = ()) -> Column:
     """Replace each secret by a placeholder and keep the text around it.
 
-    The built-in patterns run only on rows holding one of their literals.
+    A pattern runs only on rows whose original text holds one of its literals;
+    replacing a secret never creates a literal. Most rows hold none and are done
+    after plain substring tests.
     """
-    def apply_all(column: Column, patterns) -> Column:
-        for pattern, group in patterns:
-            column = F.regexp_replace(column, *_replacement(pattern, group))
-        return column
-
-    custom = list(custom)
-    if custom:
-        return apply_all(text, [*REDACTION_PATTERNS, *custom])
     lowered = F.lower(text)
-    suspicious = reduce(
-        lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in REDACTION_TRIGGERS]
-    )
-    return F.when(suspicious, apply_all(text, REDACTION_PATTERNS)).otherwise(text)
+
+    def holds_any(literals: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in literals])
+
+    redacted = text
+    for (pattern, group), literals in zip(REDACTION_PATTERNS, REDACTION_TRIGGERS):
+        specials = CASE_SPECIALS if pattern.startswith("(?i)") else []
+        rewritten, replacement = _replacement(pattern, group)
+        chosen = F.when(holds_any(literals + specials), rewritten).otherwise(_NOWHERE)
+        redacted = F.regexp_replace(redacted, chosen, F.lit(replacement))
+    every_literal = sorted({t for literals in REDACTION_TRIGGERS for t in literals}) + CASE_SPECIALS
+    result = F.when(holds_any(every_literal), redacted).otherwise(text)
+    for pattern, group in custom:
+        result = F.regexp_replace(result, *_replacement(pattern, group))
+    return result
 
 
 def family_counts(text: Column) -> dict[str, Column]:

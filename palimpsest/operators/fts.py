@@ -106,7 +106,7 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
         _all([F.contains("_haystack", F.lit(w)) for w in sorted({w for p in phrases for w in p})])
     ).drop("_haystack")
     frequency = [F.col(f"_f{i}") for i in range(len(phrases))]
-    counts = {**{f"_f{i}": h for i, h in enumerate(hits)}, "_length": _total_size(words)}
+    counts = {"_stats": stats, **{f"_f{i}": h for i, h in enumerate(hits)}, "_length": _total_size(words)}
     return (
         computed_once(with_words(candidates), counts)
         .drop(*names)
@@ -115,13 +115,13 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
             "score",
             bm25(
                 frequency,
-                [stats.getField(f"df{i}") for i in range(len(phrases))],
+                [F.col(f"_stats.df{i}") for i in range(len(phrases))],
                 F.col("_length"),
-                stats.getField("rows"),
-                stats.getField("length"),
+                F.col("_stats.rows"),
+                F.col("_stats.length"),
             ),
         )
-        .drop("_length", *[f"_f{i}" for i in range(len(phrases))])
+        .drop("_stats", "_length", *[f"_f{i}" for i in range(len(phrases))])
     )
 
 
@@ -224,13 +224,14 @@ def search_postings(postings: DataFrame, stats: DataFrame, query: str) -> DataFr
     ).scalar()
     totals = stats.select(F.struct("rows", "total_length")).scalar()
     f_columns = [F.col(f"_f{i}") for i in range(len(phrases))]
-    return counted.where(_all([f > 0 for f in f_columns])).select(
+    hits = counted.where(_all([f > 0 for f in f_columns]))
+    return computed_once(hits, {"_matched": matched, "_totals": totals}).select(
         "row_id",
         bm25(
             f_columns,
-            [matched.getField(f"df{i}") for i in range(len(phrases))],
+            [F.col(f"_matched.df{i}") for i in range(len(phrases))],
             F.col("_length"),
-            totals.getField("rows"),
-            totals.getField("total_length"),
+            F.col("_totals.rows"),
+            F.col("_totals.total_length"),
         ).alias("score"),
     )
