@@ -61,12 +61,13 @@ def folded(text: Column) -> Column:
     )
 
 
-def tokens(text: Column) -> Column:
-    """Letter-and-digit runs of the folded text, in order; NULL gives none."""
+def tokens_of_folded(text: Column) -> Column:
+    """Letter-and-digit runs of a folded text, in order; NULL gives none."""
     safe = F.coalesce(text, F.lit(""))
-    ascii_split = F.split(F.lower(safe), "[^a-z0-9]+")
-    unicode_split = F.split(folded(safe), r"[^\p{L}\p{N}]+")
-    return F.array_remove(F.when(is_ascii(safe), ascii_split).otherwise(unicode_split), "")
+    runs = F.when(is_ascii(safe), F.split(safe, "[^a-z0-9]+")).otherwise(
+        F.split(safe, r"[^\p{L}\p{N}]+")
+    )
+    return F.array_remove(runs, "")
 
 
 def py_tokens(text: str) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.fixed_values import BM25_B, BM25_IDF_FLOOR, BM25_K1, STOP_WORDS
-from palimpsest.functions.text import folded, py_tokens, tokens
+from palimpsest.functions.text import folded, py_tokens, tokens_of_folded
 from palimpsest.operators.once import computed_once
 
 POSTING_BUCKETS = 256
@@ -76,6 +76,16 @@ def _no_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.lit(None).cast("double")).where(F.lit(False))
 
 
+def _with_folded(rows: DataFrame, texts: Sequence[str]) -> DataFrame:
+    return computed_once(rows, {f"_folded_{t}": folded(F.col(t)) for t in texts})
+
+
+def _with_words(rows: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Token arrays in place of the folded texts."""
+    found = {f"_words_{t}": tokens_of_folded(F.col(f"_folded_{t}")) for t in texts}
+    return computed_once(rows, found).drop(*[f"_folded_{t}" for t in texts])
+
+
 def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
     """Rows matching every phrase of the query, with their BM25 `score`.
 
@@ -88,12 +98,9 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
         return _no_rows(rows)
     names = [f"_words_{t}" for t in texts]
 
-    def with_words(df: DataFrame) -> DataFrame:
-        return computed_once(df, {n: tokens(F.col(t)) for n, t in zip(names, texts)})
-
     words = [F.col(n) for n in names]
     hits = [_occurrences(words, p) for p in phrases]
-    counted = with_words(rows.select(*texts)).agg(
+    counted = _with_words(_with_folded(rows.select(*texts), texts), texts).agg(
         F.struct(
             F.count(F.lit(1)).alias("rows"),
             F.sum(_total_size(words)).alias("length"),
@@ -101,14 +108,14 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
         ).alias("stats")
     )
     stats = counted.scalar()
-    haystack = F.concat_ws(" ", *[folded(F.col(t)) for t in texts])
-    candidates = computed_once(rows, {"_haystack": haystack}).where(
-        _all([F.contains("_haystack", F.lit(w)) for w in sorted({w for p in phrases for w in p})])
-    ).drop("_haystack")
+    haystack = F.concat_ws(" ", *[F.col(f"_folded_{t}") for t in texts])
+    candidates = _with_folded(rows, texts).where(
+        _all([F.contains(haystack, F.lit(w)) for w in sorted({w for p in phrases for w in p})])
+    )
     frequency = [F.col(f"_f{i}") for i in range(len(phrases))]
     counts = {"_stats": stats, **{f"_f{i}": h for i, h in enumerate(hits)}, "_length": _total_size(words)}
     return (
-        computed_once(with_words(candidates), counts)
+        computed_once(_with_words(candidates, texts), counts)
         .drop(*names)
         .where(_all([f > 0 for f in frequency]))
         .withColumn(
@@ -127,29 +134,29 @@ def search_rows(rows: DataFrame, texts: Sequence[str], query: str) -> DataFrame:
 
 def corpus_stats(rows: DataFrame, texts: Sequence[str]) -> DataFrame:
     """Row count and summed token count of a corpus: one row."""
-    sizes = [F.size(tokens(F.col(t))) for t in texts]
-    return rows.agg(
+    words = _with_words(_with_folded(rows.select(*texts), texts), texts)
+    return words.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(reduce(lambda a, b: a + b, sizes)).alias("total_length"),
+        F.sum(_total_size([F.col(f"_words_{t}") for t in texts])).alias("total_length"),
     )
 
 
-def build_postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    """One row per (term, row): frequency, positions and the row's length.
+def build_postings(rows: DataFrame, row_id: str, text: str, positions: bool = False) -> DataFrame:
+    """One row per (term, row): frequency, first position and the row's length.
 
     All tokens of a row sit in one task, so the counts are complete before the
     shuffle; only (term, row) pairs move. The length travels with each posting,
-    which spares the ranking a join.
+    which spares the ranking a join. Phrases need all `positions`.
     """
-    words = rows.select(F.col(row_id).alias("row_id"), tokens(F.col(text)).alias("words"))
-    return (
-        words.select("row_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "term"))
-        .groupBy("row_id", "length", "term")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-        )
+    texts = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+    words = _with_words(_with_folded(texts, ["text"]), ["text"])
+    occurrences = words.select(
+        "row_id", F.size("_words_text").alias("length"), F.posexplode("_words_text").alias("pos", "term")
     )
+    found = [F.count(F.lit(1)).cast("int").alias("tf"), F.min("pos").alias("first_pos")]
+    if positions:
+        found.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return occurrences.groupBy("row_id", "length", "term").agg(*found)
 
 
 def term_bucket(term: Column) -> Column:
@@ -162,7 +169,7 @@ def write_index(rows: DataFrame, row_id: str, text: str, folder: str, writers_pe
     A bucket is written by several tasks, so a term found in a third of all rows
     does not end in one task.
     """
-    postings = build_postings(rows, row_id, text).withColumn("bucket", term_bucket(F.col("term")))
+    postings = build_postings(rows, row_id, text, positions=True).withColumn("bucket", term_bucket(F.col("term")))
     lane = F.pmod(F.xxhash64("row_id"), F.lit(writers_per_bucket))
     (
         postings.repartition(F.col("bucket"), lane)

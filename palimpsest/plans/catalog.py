@@ -95,7 +95,7 @@ def kw_indexed(spark, folder):
 def kw_phrase_indexed(spark, folder):
     rows = model.corpus(spark, folder)
     found = fts.search_postings(
-        fts.build_postings(rows, "id", "content"), fts.corpus_stats(rows, ["content"]), PHRASE_QUERY
+        fts.build_postings(rows, "id", "content", positions=True), fts.corpus_stats(rows, ["content"]), PHRASE_QUERY
     )
     return _scored(found, F.col("row_id").alias("id"))
 
@@ -155,7 +155,7 @@ def postings(spark, folder):
         .agg(
             F.count(F.lit(1)).alias("documents"),
             F.sum("tf").alias("occurrences"),
-            F.sum(F.element_at("positions", 1)).alias("first_positions"),
+            F.sum("first_pos").alias("first_positions"),
         )
     )
 
