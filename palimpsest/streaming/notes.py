@@ -17,7 +17,7 @@ def new_notes(notes: DataFrame, hours: int = REPEAT_WINDOW_HOURS) -> DataFrame:
     """
     return (
         prepared_notes(notes)
-        .withColumn("_digest", F.sha2("content", 256))
+        .withColumns({"_digest": F.sha2("content", 256), "created_at": F.col("created_at").cast("timestamp")})
         .withWatermark("created_at", f"{hours} hours")
         .dropDuplicatesWithinWatermark(["_digest"])
         .drop("_digest")
@@ -27,7 +27,8 @@ def new_notes(notes: DataFrame, hours: int = REPEAT_WINDOW_HOURS) -> DataFrame:
 def recent_counts(messages: DataFrame, span: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Messages per session and time window of a stream."""
     return (
-        messages.withWatermark("timestamp", late)
+        messages.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        .withWatermark("timestamp", late)
         .groupBy(F.window("timestamp", span).alias("span"), "session_id")
         .agg(F.count(F.lit(1)).alias("messages"), F.max("timestamp").alias("latest"))
     )
