@@ -21,9 +21,10 @@ from palimpsest.fixed_values import (
     SIMILARITY_TIERS,
     SNAPSHOT_SECONDS,
 )
-from palimpsest.functions.noise import stored_noise_reason
+from palimpsest.functions.noise import noise_reason, passes_noise_filter
 from palimpsest.functions.text import head, is_blank, is_single_emoji
 from palimpsest.operators.filters import as_time, sessions_keyed, with_session
+from palimpsest.operators.once import computed_once
 from palimpsest.operators.skew import join_on_sized_key
 
 MEGABYTE = 1024 * 1024
@@ -290,10 +291,15 @@ def junk_ids(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def noise(messages: DataFrame) -> DataFrame:
     """Stored messages that are status noise, with the reason."""
+    text = F.col("content")
+    lowered = computed_once(
+        messages.select("id", "role", "session_id", "content"), {"_lowered": F.lower(text)}
+    )
+    passing = lowered.where(passes_noise_filter(text, F.col("_lowered"))).drop("_lowered")
     return (
-        messages.withColumn("reason", stored_noise_reason(F.col("content")))
+        computed_once(passing, {"reason": noise_reason(text)})
         .where(F.col("reason").isNotNull())
-        .select("id", "role", "session_id", head(F.col("content"), 300).alias("content"), "reason")
+        .select("id", "role", "session_id", head(text, 300).alias("content"), "reason")
     )
 
 

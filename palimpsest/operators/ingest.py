@@ -250,7 +250,7 @@ def plan_files(listing: DataFrame, log: DataFrame, sessions: DataFrame, globs=No
     )
     appending = F.col("action") == "append"
     return (
-        listing.withColumn("_uuid", session_uuid(path))
+        listing.withColumn("_uuid", F.coalesce(session_uuid(path), path))
         .join(indexed, "_uuid", "left")
         .join(logged, "path", "left")
         .withColumns({"action": action, "reason": reason})
