@@ -40,8 +40,8 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
         .select("_id", "_version", "_at", F.unhex(F.md5("_key")).alias("_hash"))
     )
     shared = (
-        lines.groupBy("_hash", "_id")
-        .agg()
+        lines.select("_hash", "_id")
+        .distinct()
         .groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_documents"), F.max("_id").alias("_keeper"))
         .where(F.col("_documents") >= min_documents)
