@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup
+from palimpsest.llm import line_dedup, mixing
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,15 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(*mixing.mix(docs)).select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_words").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
+    )
