@@ -4,7 +4,7 @@ Each text is cut into lines and every line into a key. Keys are hashed, the dist
 counted, and lines over the threshold go, except in the document with the largest id. What is left is put together
 by position. All of it is DataFrame functions.
 
-The line table that is shuffled holds no text: (hash, document) to count, then the positions that go, by document.
+The line table is written once and holds no text: (hash, document, position) to count, and to find what goes.
 Counting is combined before each shuffle, so a line that a third of all documents hold costs one row per document
 in the first shuffle and one row per task in the second. The join of the lines with the shared hashes may be skewed;
 adaptive execution splits it, as both sides are plain shuffles.
@@ -19,14 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, SPACE, UPPER, whole_text
+from palimpsest.llm.common import LOWER, SPACE, UPPER, stage, whole_text
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    """Stripped and with A-Z in lower case. lower() is much the faster, and the same where all is ASCII."""
+    line = F.btrim(line, F.lit(SPACE))
+    return F.when(F.char_length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +41,7 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
         .where(F.char_length("_key") >= min_chars)
         .select("_id", "_version", "_at", F.unhex(F.md5("_key")).alias("_hash"))
     )
+    lines = stage(lines, "lines")
     shared = (
         lines.select("_hash", "_id")
         .distinct()
@@ -46,7 +49,8 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
         .agg(F.count(F.lit(1)).alias("_documents"), F.max("_id").alias("_keeper"))
         .where(F.col("_documents") >= min_documents)
     )
-    return lines, shared
+    # Kept, so that the join below has a plain shuffle on either side, which adaptive execution can split.
+    return lines, stage(shared, "shared-lines")
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
