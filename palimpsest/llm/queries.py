@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, prefix_tokens
+from palimpsest.llm import line_dedup, mixing, packing, prefix_tokens
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_target").alias("target"),
         F.col("_taken").alias("taken"),
     )
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
