@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from palimpsest.llm.common import partitions, stage
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker keeps the ids of, in each of two generations; and the longest such word.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 LONGEST_KEPT = 64
 #: Texts that a worker cuts into words at a time, in bytes.
 BATCH_CHARS = 2_000_000
@@ -51,6 +52,7 @@ class WordIds:
     """
 
     CUT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
+    MARKS = re.compile(r"(?<=[A-Za-z])[.,;:!?]+\Z|\Z")
 
     def __init__(self, model: str, cuts: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
@@ -64,8 +66,12 @@ class WordIds:
         self.older: dict[str, bytes] = {}
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        """Ids of new words. Marks that end a word after a letter are words of their own to the tokenizer too."""
+        ends = {w: self.MARKS.search(w).span()[0] if self.cuts and w[-1] in ".,;:!?" else len(w) for w in words}
+        stems = list({part for w, n in ends.items() for part in (w[:n], w[n:]) if part})
+        found = self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)
+        ids = {stem: array("I", e.ids).tobytes() for stem, e in zip(stems, found)} | {"": b""}
+        return {w: ids[w[:n]] + ids[w[n:]] for w, n in ends.items()}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit numbers."""
