@@ -145,7 +145,7 @@ def mix(
     # Every point of every interval, a chunk at a time, so that a hot source's steps are spread over all tasks.
     chunks = quota.where(F.col("_quota") > 0).withColumn(
         "_chunk", F.explode(F.sequence(F.expr(f"_lower div {CHUNK}"), F.expr(f"(_upper - 1) div {CHUNK}")))
-    ).repartition("_no", "_chunk")
+    ).repartition(partitions(docs.sparkSession), "_no", "_chunk")
     points = chunks.withColumn(
         "_point",
         F.explode(
@@ -178,7 +178,8 @@ def mix(
         .withColumn("_high", F.least(last, (F.col("_block") + 1) * block))
     )
     schedule = (
-        pieces.join(slots, ["_no", "_block"])
+        # Spark takes the steps for as small as the chunks that they come from; they are not to be broadcast.
+        pieces.join(slots.hint("merge"), ["_no", "_block"])
         .withColumn("_taken", F.least("_high", "_until") - F.col("_low"))
         .where(F.col("_taken") > 0)
         .select("_step", "_no", "_rank", "_pass", "doc_id", "_start", (F.col("_low") - F.col("_start")).alias("_from"), "_taken")
