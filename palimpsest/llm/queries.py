@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, packing, prefix_tokens, toxicity
+from palimpsest.llm import dart_minhash, line_dedup, mixing, packing, prefix_tokens, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dart_minhash.near_duplicates(docs).select(
+        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles"
+    )
