@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import dart_minhash, line_dedup, mixing, packing, prefix_tokens, toxicity
+from palimpsest.llm import dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,18 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(docs).select(
         "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles"
     )
+
+
+@query
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tree = {p: (F.col(f"{p}_root"), F.col(f"{p}_clauses")) for p in ("own", "edit", "next")}
+    return rows.select(
+        "doc_id",
+        F.char_length("_text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        merkle.fingerprint("own").alias("fingerprint"),
+        merkle.fingerprint("edit").alias("edited_fingerprint"),
+        merkle.likeness(*tree["own"], *tree["edit"]).alias("near_edited"),
+        merkle.likeness(*tree["own"], *tree["next"]).alias("near_next"),
+    )
