@@ -31,7 +31,7 @@ from palimpsest.llm.common import partitions, stage, whole_text
 CLAUSE = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.,;:!?][\x20\x09-\x0D]+){0,7}[^\x20\x09-\x0D]+"
 LENGTH_BITS = 12
 #: Quantiles of the ids. Between two of them ids are taken as evenly spread.
-QUANTILES = 128
+QUANTILES = 32
 
 
 def clauses(text: Column) -> Column:

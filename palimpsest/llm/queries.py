@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, toxicity
+from palimpsest.llm import chat, dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+SQL["op1_chat_format"] = r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+logs AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS log, max(turn) AS ends
+  FROM turns GROUP BY conv_id),
+gone AS (
+  SELECT DISTINCT a.conv_id FROM logs a JOIN logs b ON a.log[1] = b.log[1] AND a.conv_id <> b.conv_id
+  WHERE a.log = list_filter(b.log, lambda x: x.turn <= a.ends) AND (b.ends > a.ends OR b.conv_id < a.conv_id))
+SELECT conv_id, turn >> 6 AS part, count(*) AS n_turns,
+       string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), ''
+                  ORDER BY turn, role, text) AS text
+FROM turns WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY conv_id, turn >> 6"""
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
