@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, toxicity
+from palimpsest.llm import chat, dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,10 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.likeness(*tree["own"], *tree["edit"]).alias("near_edited"),
         merkle.likeness(*tree["own"], *tree["next"]).alias("near_next"),
     )
+
+
+@query
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
