@@ -20,9 +20,9 @@ plan depends only on the lengths. Texts of any length are cut; nothing is droppe
 
 from __future__ import annotations
 
+import base64
 import os
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,57 +36,47 @@ from palimpsest.llm.common import partitions, stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Words that a worker keeps the ids of, in each of two generations; and the longest such word.
-KEPT_WORDS = 600_000
-LONGEST_KEPT = 64
-#: Texts that a worker cuts into words at a time, in bytes.
-BATCH_CHARS = 2_000_000
+#: Longer words go to the library whose time does not grow with the square of a word.
+LONGEST = 1000
+#: Texts that a worker turns into pieces at a time.
+BATCH_BYTES = 2_000_000
 
 
-class WordIds:
-    """Token ids of whole texts, put together from the ids of words.
+class TextIds:
+    """Token ids of whole texts by a file of the tokenizers library.
 
-    A text is cut only before a space or line break that follows another character, where this kind of tokenizer
-    always begins a new word; so equal words are encoded once. `cuts` is False for tokenizers of another kind, which
-    get whole texts.
+    With `ranks`, the same byte-pair vocabulary as a file of merge ranks, plain texts go to the faster library that
+    reads those: texts of Latin letters, digits and marks without anything that could be a special token, and without
+    a word or run of spaces over LONGEST characters. For such texts both give the same ids.
     """
 
-    CUT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
-    MARKS = re.compile(r"(?<=[A-Za-z])[.,;:!?]+\Z|\Z")
+    PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, model: str, cuts: bool = True) -> None:
+    def __init__(self, model: str, ranks: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cuts = cuts
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words. Marks that end a word after a letter are words of their own to the tokenizer too."""
-        ends = {w: self.MARKS.search(w).span()[0] if self.cuts and w[-1] in ".,;:!?" else len(w) for w in words}
-        stems = list({part for w, n in ends.items() for part in (w[:n], w[n:]) if part})
-        found = self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)
-        ids = {stem: array("I", e.ids).tobytes() for stem, e in zip(stems, found)} | {"": b""}
-        return {w: ids[w[:n]] + ids[w[n:]] for w, n in ends.items()}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit numbers."""
-        cut = [self.CUT.findall(text) for text in texts] if self.cuts else [[text] for text in texts]
-        kept, older = self.words, self.older
-        new = {w for words in cut for w in words if w not in kept}
-        found = {w: older[w] for w in new if w in older}
-        found |= self._encoded([w for w in new if w not in found])
-        long = {w: ids for w, ids in found.items() if len(w) > LONGEST_KEPT}
-        kept.update((w, ids) for w, ids in found.items() if w not in long)
-        if len(kept) > KEPT_WORDS:
-            self.older, self.words = kept, {}
-        if long:
-            return [b"".join([kept.get(w) or long.get(w, b"") for w in words]) for words in cut]
-        return [b"".join([kept[w] for w in words]) for words in cut]
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                found = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=found, special_tokens={})
+
+    def _is_plain(self, text: str) -> bool:
+        if "<|" in text or not self.PLAIN.fullmatch(text):
+            return False
+        return len(text) <= LONGEST or (" " * LONGEST not in text and max(map(len, text.split(" "))) <= LONGEST)
+
+    def of(self, text: str) -> np.ndarray:
+        if self.fast and self._is_plain(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def by_size(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
@@ -101,35 +91,34 @@ def by_size(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
         low = high
 
 
-_IDS: dict[tuple[str, bool], WordIds] = {}
+_IDS: dict[tuple[str, str | None], TextIds] = {}
 
 
-def word_ids(model: str, cuts: bool) -> WordIds:
-    if (model, cuts) not in _IDS:
-        _IDS[model, cuts] = WordIds(model, cuts)
-    return _IDS[model, cuts]
+def text_ids(model: str, ranks: str | None) -> TextIds:
+    if (model, ranks) not in _IDS:
+        _IDS[model, ranks] = TextIds(model, ranks)
+    return _IDS[model, ranks]
 
 
-def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int = END_ID, cuts: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, model: str, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of every piece of every document."""
     names = ["doc_id", "piece", "start", "length", "ids"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(model, cuts)
+        encode = text_ids(model, ranks).of
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in by_size(batch, BATCH_CHARS):
-                owners = part.column(0).to_pylist()
+            for part in by_size(batch, BATCH_BYTES):
                 rows: list[list] = [[] for _ in names]
-                for doc, ids in zip(owners, encode.batch([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encode(text or "").astype("<u4", copy=False).tobytes() + end
                     n = len(ids) // 4
                     first = n % capacity or capacity
                     edges = [0, *range(first, n + 1, capacity)]
                     for k, (low, high) in enumerate(zip(edges, edges[1:])):
                         for column, value in zip(rows, (doc, k, low, high - low, ids[low * 4 : high * 4])):
                             column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
