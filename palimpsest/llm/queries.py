@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
+from palimpsest.llm import chat, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, counts, texts = hmm.train(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return hmm.score(model, counts, texts).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
