@@ -38,7 +38,7 @@ from palimpsest.llm.common import stage
 from palimpsest.llm.packing import by_size
 
 STATES = 8
-TURNS = 6
+TURNS = 4
 #: Words that are symbols of their own, and classes of the others. Together at most 65,535.
 FREQUENT = 24_000
 CLASSES = 8_192
