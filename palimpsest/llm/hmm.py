@@ -294,7 +294,7 @@ def score(model: Model, counts: DataFrame, texts: DataFrame) -> DataFrame:
         rare.join(counts, "word", "left")
         .groupBy("batch")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("_found"))
-        .select("batch", F.transform("_found", lambda x: x["n"]).alias("n"))
+        .select(F.col("batch").alias("of"), F.transform("_found", lambda x: x["n"]).alias("n"))
     )
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -337,6 +337,6 @@ def score(model: Model, counts: DataFrame, texts: DataFrame) -> DataFrame:
         )
 
     grouped = texts.where(F.col("symbols").isNotNull()).select("batch", "doc_id", "held_out", "symbols", "rare").groupBy("batch")
-    return grouped.cogroup(known.groupBy("batch")).applyInArrow(
+    return grouped.cogroup(known.groupBy("of")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
