@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage
+from palimpsest.llm.common import SPACE, stage
 from palimpsest.llm.components import components
 from palimpsest.llm.packing import by_size
 
@@ -287,7 +287,10 @@ def _rest(buckets: DataFrame, state: DataFrame, sets: DataFrame, least: float) -
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = False) -> DataFrame:
-    """doc_id, copy, node, class_id (smallest doc_id of the class) and n_shingles of every row of the documents."""
+    """doc_id, copy, component, class_id (smallest doc_id of the class) and n_shingles of every row of the documents.
+
+    `component` is a key of the class, null for a text without words.
+    """
     rows = stage(signed(docs, weighted), "signed")
     nodes = stage(
         rows.where(F.col("node").isNotNull())
@@ -316,7 +319,20 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
     owned = nodes.select("node", "doc_id").join(state.select("node", "component"), "node", "left")
     owned = owned.withColumn("component", F.coalesce("component", "node"))
     names = owned.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = owned.join(names, "component").select("node", "class_id")
-    without = rows.where(F.col("node").isNull()).withColumn("class_id", F.col("doc_id"))
+    classes = owned.join(names, "component").select("node", "component", "class_id")
+    without = rows.where(F.col("node").isNull()).withColumns({"component": F.col("node"), "class_id": F.col("doc_id")})
     classed = rows.where(F.col("node").isNotNull()).join(classes, "node")
-    return classed.unionByName(without).select("doc_id", "copy", "node", "class_id", F.col("size").alias("n_shingles"))
+    return classed.unionByName(without).select("doc_id", "copy", "component", "class_id", F.col("size").alias("n_shingles"))
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The documents, one row of each class: the smallest doc_id, then the smallest hash of its text. Texts without
+    words all stay."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    kept = near_duplicates(docs, **settings).where(F.col("component").isNotNull()).groupBy("component").agg(F.min(first).alias("r"))
+    kept = stage(kept.select(F.col("r.doc_id").alias("_id"), F.col("r.copy").alias("_key")), "kept")
+    keyed = docs.withColumn("_copy", F.xxhash64("text"))
+    wordless = F.coalesce(F.btrim("text", F.lit(SPACE)), F.lit("")) == ""
+    chosen = keyed.where(~wordless).join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_copy"] == kept["_key"]))
+    chosen = chosen.dropDuplicates(["doc_id", "_copy"]).select(*docs.columns)
+    return chosen.unionByName(docs.where(wordless))

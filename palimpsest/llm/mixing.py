@@ -73,11 +73,14 @@ def _steps_before(bits: int, edge: str) -> Column:
     )
 
 
+def _shuffling_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", whole_text()).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """Narrow rows: document, source, size, and the hash that shuffles the source."""
-    text = whole_text()
-    mixed = F.xxhash64(F.lit(seed), "doc_id", text).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    return docs.select("doc_id", F.col("source").alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), mixed.alias("_hash"))
+    size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
+    return docs.select("doc_id", F.col("source").alias("_source"), size.alias("_size"), _shuffling_hash(seed).alias("_hash"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -198,6 +201,22 @@ def taken(documents: DataFrame, schedule: DataFrame) -> DataFrame:
     ).drop("_some")
 
 
-def passes(documents: DataFrame, schedule: DataFrame) -> DataFrame:
-    """One row per document and pass that takes any of its words: doc_id, _no, _start, _pass, _taken, _step (its first)."""
-    return schedule.groupBy("_no", "_start", "doc_id", "_pass").agg(F.sum("_taken").alias("_taken"), F.min("_step").alias("_step"))
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, with the columns of the documents: a row for each pass that takes a document or its beginning.
+
+    Only the document at which a source meets its target is cut, after its last taken word. Rows that are equal in
+    doc_id, source and text are interchangeable, and so are their other columns.
+    """
+    seed = settings.get("seed", 0)
+    documents, schedule = mix(docs, **settings)
+    takes = schedule.groupBy("_no", "_start", "_pass").agg(F.sum("_taken").alias("_taken"))
+    takes = documents.where(F.col("_size") > 0).join(takes, ["_no", "_start"]).select(
+        F.col("doc_id").alias("_id"), F.col("_source").alias("_of"), F.col("_hash").alias("_key"), "_size", "_taken"
+    )
+    keyed = docs.withColumn("_hash", _shuffling_hash(seed)).dropDuplicates(["doc_id", "source", "_hash"])
+    rows = keyed.join(
+        takes, keyed["doc_id"].eqNullSafe(takes["_id"]) & keyed["source"].eqNullSafe(takes["_of"]) & (keyed["_hash"] == takes["_key"])
+    )
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    beginning = F.array_join(F.slice(words, 1, F.col("_taken").cast("int")), "")
+    return rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), beginning).otherwise(F.col("text"))).select(*docs.columns)
