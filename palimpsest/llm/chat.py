@@ -77,7 +77,7 @@ def maximal(hashes: DataFrame) -> DataFrame:
     whole = (
         hashes.where("_ends")
         .groupBy("_at", "_p1", "_p2")
-        .agg(F.min(F.struct((F.col("_key") == "").alias("_none"), F.col("_key").cast("long").alias("_id"), "_key")).alias("_first"))
+        .agg(F.min(F.struct((F.col("_key") == "").alias("_none"), F.col("_key").try_cast("long").alias("_id"), "_key")).alias("_first"))
     )
     earlier = hashes.where(~F.col("_ends")).select("_at", "_p1", "_p2").distinct()
     return whole.join(earlier, ["_at", "_p1", "_p2"], "left_anti").select(F.col("_first._key").alias("_key"))

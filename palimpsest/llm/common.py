@@ -24,6 +24,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns as one, so that other columns may have any names."""
+    return F.struct(*[docs[c] for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the cluster is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, stage
+from palimpsest.llm.common import SPACE, as_row, stage
 from palimpsest.llm.components import components
 from palimpsest.llm.packing import by_size
 
@@ -331,8 +331,8 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     kept = near_duplicates(docs, **settings).where(F.col("component").isNotNull()).groupBy("component").agg(F.min(first).alias("r"))
     kept = stage(kept.select(F.col("r.doc_id").alias("_id"), F.col("r.copy").alias("_key")), "kept")
-    keyed = docs.withColumn("_copy", F.xxhash64("text"))
-    wordless = F.coalesce(F.btrim("text", F.lit(SPACE)), F.lit("")) == ""
-    chosen = keyed.where(~wordless).join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_copy"] == kept["_key"]))
-    chosen = chosen.dropDuplicates(["doc_id", "_copy"]).select(*docs.columns)
-    return chosen.unionByName(docs.where(wordless))
+    keyed = docs.select(as_row(docs).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_copy"))
+    wordless = F.coalesce(F.btrim(F.col("_row")["text"], F.lit(SPACE)), F.lit("")) == ""
+    chosen = keyed.where(~wordless).join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_key")))
+    chosen = chosen.dropDuplicates(["_doc", "_copy"]).select("_row")
+    return chosen.unionByName(keyed.where(wordless).select("_row")).select("_row.*")

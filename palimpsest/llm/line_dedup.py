@@ -11,7 +11,8 @@ adaptive execution splits it, as both sides are plain shuffles.
 
 Defined results: a null text is the empty text, which is one empty line. Rows that repeat a doc_id count as one
 document; each row keeps its own text. Rows with a null doc_id count as one document together, never the largest.
-An empty table gives an empty table. Other columns pass unchanged.
+An empty table gives an empty table. Other columns pass unchanged, but
+for ones named `_lines` or `_dropped`, which are replaced.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents
     left = F.when(F.col("_gone").isNull(), F.col("_parts")).otherwise(F.transform(places, lambda i: F.get("_parts", i)))
     columns = {"doc_id": F.col("_id"), "text": F.array_join(left, "\n")} | {c: F.col("_rest").getField(c) for c in rest}
     return joined.select(
-        *[columns[c].alias(c) for c in docs.columns],
+        *[columns[c].alias(c) for c in docs.columns if c not in ("_lines", "_dropped")],
         F.size("_parts").cast("long").alias("_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"),
     )

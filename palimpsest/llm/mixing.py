@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import WORD, numbered, partitions, stage, whole_text
+from palimpsest.llm.common import WORD, as_row, numbered, partitions, stage, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -213,10 +213,14 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     takes = documents.where(F.col("_size") > 0).join(takes, ["_no", "_start"]).select(
         F.col("doc_id").alias("_id"), F.col("_source").alias("_of"), F.col("_hash").alias("_key"), "_size", "_taken"
     )
-    keyed = docs.withColumn("_hash", _shuffling_hash(seed)).dropDuplicates(["doc_id", "source", "_hash"])
+    keyed = docs.select(
+        as_row(docs).alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").alias("_from_source"), _shuffling_hash(seed).alias("_hash")
+    ).dropDuplicates(["_doc", "_from_source", "_hash"])
     rows = keyed.join(
-        takes, keyed["doc_id"].eqNullSafe(takes["_id"]) & keyed["source"].eqNullSafe(takes["_of"]) & (keyed["_hash"] == takes["_key"])
+        takes, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from_source").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_key"))
     )
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.col("_row")["text"]
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     beginning = F.array_join(F.slice(words, 1, F.col("_taken").cast("int")), "")
-    return rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), beginning).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.when(F.col("_taken") < F.col("_size"), beginning).otherwise(text)
+    return rows.select(F.col("_row").withField("text", cut).alias("_row")).select("_row.*")

@@ -175,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: i
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of the documents and `_score`, from 0 to 1."""
+    """All columns of the documents and `_score`, from 0 to 1; a column of that name is replaced."""
+    docs = docs.drop("_score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)
     at, size = docs.columns.index("text"), len(docs.columns)
