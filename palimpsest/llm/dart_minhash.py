@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
     nodes = stage(
         rows.where(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "copy", "size", "sketch", "bands")).alias("r"))
-        .select("node", "r.*"),
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "copy", "size", "sketch", "bands")).alias("r"))
+        .select("node", "least", "r.*"),
         "nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -316,9 +316,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
         turn += 1
     accepted = _rest(buckets, state, sets, least)
     state = _joined(state, accepted)
-    owned = nodes.select("node", "doc_id").join(state.select("node", "component"), "node", "left")
+    owned = nodes.select("node", "least").join(state.select("node", "component"), "node", "left")
     owned = owned.withColumn("component", F.coalesce("component", "node"))
-    names = owned.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    names = owned.groupBy("component").agg(F.min("least").alias("class_id"))
     classes = owned.join(names, "component").select("node", "component", "class_id")
     without = rows.where(F.col("node").isNull()).withColumns({"component": F.col("node"), "class_id": F.col("doc_id")})
     classed = rows.where(F.col("node").isNotNull()).join(classes, "node")

@@ -284,7 +284,8 @@ def plain_links(rows, least=0.93):
     units = []
     for _, vector, label in rows:
         bad = vector is None or label is None or not vector or any(x is None or not math.isfinite(x) for x in vector) or not any(vector)
-        units.append(None if bad else np.array(vector) / np.linalg.norm(vector))
+        scaled = None if bad else np.array(vector) / np.abs(vector).max()
+        units.append(None if bad else scaled / np.linalg.norm(scaled))
     links = [
         [j for j in range(len(rows)) if j != i and units[j] is not None and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= least]
         if units[i] is not None else []
