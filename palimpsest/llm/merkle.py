@@ -106,7 +106,7 @@ def differing_sections(sections_a: Column, sections_b: Column) -> Column:
 
 def _range(bounds: list[int], ranges: int) -> Column:
     """A number from 0 to `ranges` that never falls as doc_id grows: its place among the quantiles, and in between."""
-    key, each = F.col("doc_id"), max(1, ranges // max(1, len(bounds) - 1))
+    key, each = F.col("doc_id"), -(-ranges // max(1, len(bounds) - 1))
     place = F.lit(0).cast("long")
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
         inside = F.floor((key - F.lit(low)).cast("double") / F.lit(float(high - low)) * each) if high > low else F.lit(0)
@@ -122,7 +122,7 @@ def with_next(docs: DataFrame, text: str = "text") -> tuple[DataFrame, WindowSpe
     bounds = sorted(set(found))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
-    rows = rows.withColumn("_range", _range(bounds, partitions(spark)))
+    rows = rows.withColumn("_range", _range(bounds, 4 * partitions(spark)))
     # The first id of each range, a row for each of a bounded number of ranges, says where the guest comes from.
     firsts = rows.groupBy("_range").agg(F.min("doc_id").alias("_first"))
     circle = Window.orderBy("_range")
