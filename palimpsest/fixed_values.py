@@ -291,7 +291,6 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
 MIN_SIMILARITY = 0.45
-OVER_FETCH = 3
 COSINE_EPSILON = 1e-10
 RESULT_FINGERPRINT_CHARS = 500
 VECTOR_FINGERPRINT_CHARS = 200

@@ -40,20 +40,9 @@ CLEANUP_RUNS = (
 EPOCH = "2024-01-01 00:00:00"
 
 
-# Bytes per core below which a table of texts is spread over all cores. A small file
-# is one row group, which one task reads; the work on its texts should not stay there.
-SPREAD_BYTES = 32 * 1024 * 1024
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Text tables too small to fill the cores are spread over them."""
-    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    if name not in TEXT_KEYS:
-        return rows
-    cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    return rows.repartition(cores, TEXT_KEYS[name]) if size < SPREAD_BYTES * cores else rows
+    """A given table, as Spark splits it."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def _after_epoch(**parts: Column) -> Column:

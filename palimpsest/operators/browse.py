@@ -107,7 +107,7 @@ def activity(
     ends = (
         messages.where(F.col("role").isin("user", "assistant"))
         .select("session_id", "role", "message_index", "id", head(F.col("content"), cut).alias("content"))
-        .join(F.broadcast(page.select("session_id")), "session_id", "left_semi")
+        .join(page.select("session_id"), "session_id", "left_semi")
         .groupBy("session_id")
         .agg(
             F.min_by("content", F.when(first_user.isNotNull(), F.struct(first_user, "id"))).alias("first_user_message"),

@@ -86,7 +86,7 @@ def repeated_messages(messages: DataFrame, sessions: DataFrame, limit: int = DUP
             "session_id", "message_index", "id",
             F.struct(head(F.col("content"), 100).alias("preview"), "role").alias("shown"),
         )
-        .join(F.broadcast(page.select("session_id")), "session_id", "left_semi")
+        .join(page.select("session_id"), "session_id", "left_semi")
         .groupBy("session_id")
         .agg(F.min_by("shown", F.struct("message_index", "id")).alias("shown"))
     )
@@ -193,7 +193,7 @@ def similar_messages(messages: DataFrame, tier: str = "exact", limit: int = DUPL
     )
     return (
         messages.withColumnRenamed("id", "keep_id")
-        .join(F.broadcast(page), "keep_id")
+        .join(page, "keep_id")
         .select(
             head(F.col("content"), 200).alias("content_preview"),
             "role", "copies", "sessions", "keep_id",
@@ -229,20 +229,22 @@ def similar_ids(messages: DataFrame, tier: str = "exact") -> DataFrame:
 def group_of(messages: DataFrame, sessions: DataFrame, keep_id: int) -> DataFrame:
     """All messages with the same content as one message, with session facts."""
     wanted = messages.where(F.col("id") == keep_id).select("content").scalar()
-    return _member_facts(messages.where(F.col("content") == wanted), sessions)
+    return _with_facts(_shown(messages.where(F.col("content") == wanted)), sessions)
 
 
 def all_group_members(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """The members of every group of exact copies, with session facts."""
-    members = similar_members(messages)
-    return _member_facts(messages.join(members, "id"), sessions, "keep_id")
+    return _with_facts(_shown(messages).join(similar_members(messages), "id"), sessions)
 
 
-def _member_facts(members: DataFrame, sessions: DataFrame, *extra: str) -> DataFrame:
-    shown = members.select(
-        "id", "session_id", "role", "timestamp",
-        head(F.col("content"), 500).alias("content_preview"), *extra,
+def _shown(messages: DataFrame) -> DataFrame:
+    """What is shown of a message, so that no join moves whole texts."""
+    return messages.select(
+        "id", "session_id", "role", "timestamp", head(F.col("content"), 500).alias("content_preview")
     )
+
+
+def _with_facts(shown: DataFrame, sessions: DataFrame) -> DataFrame:
     return with_session(shown, sessions, "agent_id", "channel", how="left").drop("message_count")
 
 
@@ -262,7 +264,7 @@ def junk(messages: DataFrame, sessions: DataFrame) -> DataFrame:
         (F.char_length(text).between(1, 10) & is_single_emoji(text)).alias("_emoji"),
     )
     known = sessions_keyed(sessions).withColumn("_known", F.lit(True))
-    located = join_on_sized_key(flagged, known, "session_id", "message_count", "id", "left")
+    located = join_on_sized_key(flagged, known, "session_id", None, "id", "left")
     categories = F.array_compact(
         F.array(
             F.when(F.col("_blank"), "empty"),
@@ -398,12 +400,13 @@ def delete_messages(
     """
     doomed = ids.select("id").distinct()
     kept = messages.join(doomed, "id", "left_anti")
-    removed = messages.join(doomed, "id", "left_semi")
+    sizes = messages.select("id", "session_id", F.char_length(F.coalesce("content", F.lit(""))).alias("chars"))
+    removed = sizes.join(doomed, "id", "left_semi")
     per_session = removed.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("gone"),
-        F.sum(F.char_length(F.coalesce("content", F.lit("")))).alias("freed"),
+        F.sum("chars").alias("freed"),
     )
-    left = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("left"))
+    left = sizes.join(doomed, "id", "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("left"))
     recount = per_session.select("session_id").join(left, "session_id", "left").select(
         "session_id", F.coalesce("left", F.lit(0)).alias("recount")
     )
@@ -437,7 +440,7 @@ def delete_sessions(
     )
     gone = join_on_sized_key(
         messages.select("id", "session_id"), sized.select("session_id", "message_count"),
-        "session_id", "message_count", "id", "left_semi",
+        "session_id", None, "id", "left_semi",
     ).select("id")
     files = sized.where(F.col("source_file").isNotNull()).select("source_file").distinct()
     return {

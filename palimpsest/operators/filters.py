@@ -82,4 +82,4 @@ def sessions_keyed(sessions: DataFrame, *columns: str) -> DataFrame:
 def with_session(messages: DataFrame, sessions: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
     """Messages with columns of their session; large sessions are split."""
     keyed = sessions_keyed(sessions, *columns)
-    return join_on_sized_key(messages, keyed, "session_id", "message_count", "id", how)
+    return join_on_sized_key(messages, keyed, "session_id", None, "id", how)

@@ -91,7 +91,7 @@ def keyword_messages_indexed(
     if agent:
         located = located.where(same_name(F.col("agent_id"), agent))
     page = located.orderBy("score", "id").limit(limit).drop("session_id", "message_count")
-    return messages.join(F.broadcast(page), "id").orderBy("score", "id")
+    return messages.join(page, "id").orderBy("score", "id")
 
 
 def keyword_notes(
@@ -131,9 +131,10 @@ def first_of_each(rows: DataFrame, *order) -> DataFrame:
 
 
 def _or_else(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
-    """The preferred rows, or the fallback's if there are none."""
-    nothing = preferred.agg(F.count(F.lit(1)) == 0).scalar()
-    return preferred.unionByName(fallback.where(nothing))
+    """The preferred rows, or the fallback's if there are none. Both are pages of a caller's limit."""
+    ranked = preferred.withColumn("_arm", F.lit(0)).unionByName(fallback.withColumn("_arm", F.lit(1)))
+    first = F.min("_arm").over(Window.partitionBy(F.lit(0)))
+    return ranked.withColumn("_first", first).where(F.col("_arm") == F.col("_first")).drop("_arm", "_first")
 
 
 def unified_search(

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 # Rows of one key handled by one task before the key is split further.
 SLICE_ROWS = 1_000_000
-# Most keys that are ever split, hence the most rows of the broadcast list. Any
-# key beyond this list is smaller than 1/10,000 of the rows.
-SPLIT_KEYS = 10_000
-
-
-def split_list(sized: DataFrame, key: str, weight: str, slice_rows: int) -> DataFrame:
-    """The keys worth splitting and into how many slices; never above SPLIT_KEYS."""
-    return (
-        sized.where(F.col(weight) > slice_rows)
-        .select(key, F.ceil(F.col(weight) / slice_rows).cast("int").alias("_slices"))
-        .orderBy(F.desc("_slices"), key)
-        .limit(SPLIT_KEYS)
+
+
+def heavy_keys(rows: DataFrame, sized: DataFrame, key: str, weight: str | None, slice_rows: int) -> DataFrame:
+    """(_heavy, _slices): every key worth splitting and into how many slices.
+
+    Without a weight the rows themselves are counted, by key and before the shuffle, so NULL and keys that the other
+    side lacks are split too. A weight must be an exact count of the rows, as a preceding aggregation gives it.
+    """
+    counted = sized.select(key, F.col(weight).alias("_n")) if weight else rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") > slice_rows).select(
+        F.col(key).alias("_heavy"), F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices")
     )
 
 
@@ -26,28 +25,27 @@ def join_on_sized_key(
     rows: DataFrame,
     sized: DataFrame,
     key: str,
-    weight: str,
+    weight: str | None,
     spread_by: str,
     how: str = "inner",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Join many rows to a table with one row per key and a row count per key.
+    """Join many rows to a table with one row per key.
 
-    Rows of a heavy key are spread over slices by `spread_by`, and the key's one
-    row is repeated once per slice, so the work of a key is shared in proportion
-    to its size. The list of heavy keys is bounded, which is why it may be
-    broadcast; the two inputs themselves are left for Spark to size up.
+    Rows of a heavy key are spread over slices by `spread_by`, and the key's one row is repeated once per slice, so the
+    work of a key is shared in proportion to its size. There is at most one heavy key per `slice_rows` rows; whether
+    the list of them is broadcast is left to Spark, which knows its size.
     """
-    heavy = F.broadcast(split_list(sized, key, weight, slice_rows))
+    heavy = heavy_keys(rows, sized, key, weight, slice_rows)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     spread = (
-        rows.join(heavy, key, "left")
+        rows.join(heavy, rows[key].eqNullSafe(heavy["_heavy"]), "left")
         .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int"))
-        .drop("_slices")
+        .drop("_heavy", "_slices")
     )
     repeated = (
-        sized.join(heavy, key, "left")
+        sized.join(heavy, sized[key] == heavy["_heavy"], "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
+        .drop("_heavy", "_slices")
     )
     return spread.join(repeated, [key, "_slice"], how).drop("_slice")

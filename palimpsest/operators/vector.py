@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,6 @@ from palimpsest.fixed_values import (
     EMBED_MODEL,
     MIN_EMBED_CHARS,
     MIN_SIMILARITY,
-    OVER_FETCH,
     VECTOR_FINGERPRINT_CHARS,
 )
 from palimpsest.operators.filters import in_period, same_name, with_session
@@ -28,8 +28,16 @@ from palimpsest.operators.filters import in_period, same_name, with_session
 _BLOCK = 2048
 
 
+def _comparable(vectors: pa.Array, size: int) -> np.ndarray:
+    """Which vectors have the queries' size and no NULL inside. The others have no similarity."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False).to_numpy(zero_copy_only=False)
+    if pc.list_flatten(vectors).null_count:
+        fits = fits & np.array([None not in v if ok else False for ok, v in zip(fits, vectors.to_pylist())])
+    return fits
+
+
 def _cosines(vectors: pa.Array, queries: np.ndarray) -> np.ndarray:
-    """Similarities of the non-NULL vectors of a batch, one column per query."""
+    """Similarities of vectors of the queries' size, one column per query."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     matrix = flat.reshape(-1, queries.shape[1])
     query_norms = np.linalg.norm(queries, axis=1)
@@ -55,9 +63,9 @@ def cosine_to(query: Sequence[float]) -> Callable[[str], Column]:
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
         out = np.full(len(vectors), np.nan)
-        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        valid = _comparable(vectors, queries.shape[1])
         if valid.any():
-            out[valid] = _cosines(vectors.drop_null(), queries)[:, 0]
+            out[valid] = _cosines(vectors.filter(pa.array(valid)), queries)[:, 0]
         return pa.array(out, mask=~valid)
 
     return score.asNondeterministic()
@@ -69,11 +77,11 @@ def cosine_to_each(queries: Mapping[str, Sequence[float]]) -> Callable[[str], Co
 
     @F.arrow_udf("array<double>")
     def score(vectors: pa.Array) -> pa.Array:
-        rows = iter(_cosines(vectors.drop_null(), matrix).tolist())
-        return pa.array(
-            [next(rows) if ok else None for ok in vectors.is_valid().to_pylist()],
-            type=pa.list_(pa.float64()),
-        )
+        valid = _comparable(vectors, matrix.shape[1])
+        scores = _cosines(vectors.filter(pa.array(valid)), matrix) if valid.any() else np.empty(0)
+        ends = np.cumsum(valid) * len(matrix)
+        edges = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~valid, [False]]))
+        return pa.ListArray.from_arrays(edges, pa.array(scores.ravel()))
 
     return score.asNondeterministic()
 
@@ -128,11 +136,14 @@ def search_messages(
     """Messages nearest to a query vector, near-identical texts shown once.
 
     Scoring comes first and drops all but similar rows; the filters, which commute
-    with it, then join ids rather than vectors. Content is read only for the best
-    `OVER_FETCH * limit` candidates, a bounded list that may be broadcast.
+    with it, then join ids rather than vectors. Of equal texts only the best is
+    ranked, by a digest, so the page is full; content is read for the page alone.
     """
+    fingerprint = F.concat_ws(
+        ":", "role", F.substring(F.coalesce("content", F.lit("")), 1, VECTOR_FINGERPRINT_CHARS)
+    )
     keyed = in_period(
-        messages.select("id", "session_id", "role", "timestamp"),
+        messages.select("id", "session_id", "role", "timestamp", F.unhex(F.sha2(fingerprint, 256)).alias("_print")),
         "timestamp", days, now, date_from, date_to,
     )
     hits = similar(vectors, "message_id", query, floor)
@@ -144,19 +155,15 @@ def search_messages(
         located = located.where(same_name(F.col("agent_id"), agent))
     if channel:
         located = located.where(F.col("channel") == channel)
-    best = located.orderBy(F.desc("score"), "id").limit(OVER_FETCH * limit)
-    shown = messages.select("id", "content").join(F.broadcast(best), "id")
-    fingerprint = F.concat_ws(
-        ":", "role", F.substring(F.coalesce("content", F.lit("")), 1, VECTOR_FINGERPRINT_CHARS)
-    )
-    order = Window.partitionBy(fingerprint).orderBy(F.desc("score"), "id")
-    return (
-        shown.withColumn("_copy", F.row_number().over(order))
+    order = Window.partitionBy("_print").orderBy(F.desc("score"), "id")
+    best = (
+        located.withColumn("_copy", F.row_number().over(order))
         .where(F.col("_copy") == 1)
-        .drop("_copy")
+        .drop("_copy", "_print")
         .orderBy(F.desc("score"), "id")
         .limit(limit)
     )
+    return messages.select("id", "content").join(best, "id").orderBy(F.desc("score"), "id")
 
 
 def search_notes(
@@ -183,7 +190,7 @@ def search_notes(
         .orderBy(F.desc("score"), "id")
         .limit(limit)
     )
-    return notes.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
+    return notes.join(best, "id").orderBy(F.desc("score"), "id")
 
 
 def without_vector(rows: DataFrame, row_id: str, vectors: DataFrame, vector_row_id: str) -> DataFrame:

@@ -776,7 +776,7 @@ def agent_aliases(spark, folder):
 
 @query
 def path_metadata(spark, folder):
-    naming = paths.Naming({"main": "Kit", "claude": "Claude", "cyrus": "Cyrus"}, local_home="/home/me")
+    naming = paths.Naming({"main": "Mara", "claude": "Claude", "orla": "Orla"}, local_home="/home/me")
     return paths.with_session_metadata(derived.session_paths(spark, folder), naming).select(
         "path", "agent_id", "channel", "channel_id"
     )

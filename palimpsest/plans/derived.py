@@ -61,9 +61,9 @@ def session_paths(spark: SparkSession, folder: str) -> DataFrame:
 
     forms = [
         joined("/srv/agents/main/sessions/", uuid, ".jsonl"),
-        joined("/srv/agents/cyrus/sessions/boot-", number, ".jsonl"),
+        joined("/srv/agents/orla/sessions/boot-", number, ".jsonl"),
         joined("/srv/agents-archive-cc/agent-main-cron-", uuid, "-20260220.jsonl"),
-        joined("/srv/agents-archive-claude/agent-cyrus-discord-ch-", number, "-x.jsonl"),
+        joined("/srv/agents-archive-claude/agent-orla-discord-ch-", number, "-x.jsonl"),
         joined("/srv/agents-archive-vps/", uuid, ".jsonl.bak-1"),
         joined("/srv/agents-archive/rook/agent-main-telegram-", number, "-y.jsonl"),
         joined("/srv/agents-grok-sessions/", number, ".jsonl"),
@@ -71,7 +71,7 @@ def session_paths(spark: SparkSession, folder: str) -> DataFrame:
         joined("/home/me/.claude/projects/-p/", uuid, ".jsonl"),
         joined("/home/you/.claude/projects/-p/subagents/", uuid, ".jsonl"),
         joined("/data/", uuid, ".jsonl"),
-        joined("/data/cyrus-", number, ".jsonl"),
+        joined("/data/orla-", number, ".jsonl"),
         joined("/data/main/abcdef", number, "-z.jsonl"),
         joined("/data/agent-abcdef-slack-", number, "-q.jsonl.deleted.2026"),
     ]

@@ -445,9 +445,9 @@ SELECT CASE WHEN f.file IS NULL THEN 'deleted' WHEN l.source_file IS NULL THEN '
 FROM sized f FULL JOIN logged l ON l.source_file = f.file GROUP BY 1"""
 FORMS = [
     "'/srv/agents/main/sessions/' || u || '.jsonl'",
-    "'/srv/agents/cyrus/sessions/boot-' || k || '.jsonl'",
+    "'/srv/agents/orla/sessions/boot-' || k || '.jsonl'",
     "'/srv/agents-archive-cc/agent-main-cron-' || u || '-20260220.jsonl'",
-    "'/srv/agents-archive-claude/agent-cyrus-discord-ch-' || k || '-x.jsonl'",
+    "'/srv/agents-archive-claude/agent-orla-discord-ch-' || k || '-x.jsonl'",
     "'/srv/agents-archive-vps/' || u || '.jsonl.bak-1'",
     "'/srv/agents-archive/rook/agent-main-telegram-' || k || '-y.jsonl'",
     "'/srv/agents-grok-sessions/' || k || '.jsonl'",
@@ -455,7 +455,7 @@ FORMS = [
     "'/home/me/.claude/projects/-p/' || u || '.jsonl'",
     "'/home/you/.claude/projects/-p/subagents/' || u || '.jsonl'",
     "'/data/' || u || '.jsonl'",
-    "'/data/cyrus-' || k || '.jsonl'",
+    "'/data/orla-' || k || '.jsonl'",
     "'/data/main/abcdef' || k || '-z.jsonl'",
     "'/data/agent-abcdef-slack-' || k || '-q.jsonl.deleted.2026'",
 ]
@@ -473,8 +473,8 @@ def by_form(*values: str) -> str:
 
 # Expected agent, channel and channel id of each form, worked out by hand.
 SQL["path_metadata"] = f"""{with_(PATHS)}
-SELECT path, {by_form("'Kit'", "'Cyrus'", "'claude-code'", "'Cyrus'", "'Kit'", "'rook'", "'grok'", "'chat'",
-  "'cc-vps'", "'claude-code'", "'claude-code'", "'Cyrus'", "'Kit'", "'unknown'")} AS agent_id,
+SELECT path, {by_form("'Mara'", "'Orla'", "'claude-code'", "'Orla'", "'Mara'", "'rook'", "'grok'", "'chat'",
+  "'cc-vps'", "'claude-code'", "'claude-code'", "'Orla'", "'Mara'", "'unknown'")} AS agent_id,
   {by_form("'direct'", "'direct'", "'cron'", "'discord'", "'direct'", "'telegram'", "'direct'", "'direct'",
   "'terminal'", "'terminal'", "'terminal'", "'unknown'", "'unknown'", "'slack'")} AS channel,
   {by_form(*["NULL"] * 3, "'ch-' || k || '-x'", "NULL", "CAST(k AS VARCHAR)", *["NULL"] * 7, "CAST(k AS VARCHAR)")} AS channel_id

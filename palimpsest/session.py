@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -30,22 +29,3 @@ def local_session(cores: int = 8, app: str = "palimpsest", **conf: str) -> Spark
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    Only where none is named (tests on one machine) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -81,7 +81,7 @@ def test_numbering_by_blocks(spark, monkeypatch):
 def test_stream_follows_growth_shrinking_and_twin_files(spark, tmp_path):
     target = folder(tmp_path / "in")
     file = target / f"{UUID}.jsonl"
-    archive = Archive(spark, str(tmp_path / "store"), Naming({"main": "Kit"}))
+    archive = Archive(spark, str(tmp_path / "store"), Naming({"main": "Mara"}))
     query = start_ingest(archive, [str(tmp_path / "in")], str(tmp_path / "ck"), every="1 second")
     try:
         file.write_text(line(content="one", timestamp="2026-03-08T10:00:00Z") + line(content="two") + '{"type"')
@@ -96,7 +96,7 @@ def test_stream_follows_growth_shrinking_and_twin_files(spark, tmp_path):
         query.processAllAvailable()
         assert stored(archive) == [(UUID, 0, "one"), (UUID, 1, "two"), (UUID, 2, "three")]
         session = archive.sessions().collect()
-        assert [(s["id"], s["agent_id"], s["channel"], s["message_count"]) for s in session] == [(UUID, "Kit", "direct", 3)]
+        assert [(s["id"], s["agent_id"], s["channel"], s["message_count"]) for s in session] == [(UUID, "Mara", "direct", 3)]
         assert str(session[0]["ended_at"]) == "2026-03-08 11:00:00"
         file.write_text(line(content="anew"))
         query.processAllAvailable()

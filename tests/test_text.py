@@ -118,7 +118,7 @@ def test_requests():
     with pytest.raises(ValueError):
         requests.parse_date("01.02.2026", now)
     assert [requests.clamp(v, 30, 1, 120) for v in ("x", "0", 999, None, "45")] == [30, 1, 120, 30, 45]
-    assert requests.resolve_agent("KIT", {"kit": "Kit"}) == "Kit"
+    assert requests.resolve_agent("MARA", {"mara": "Mara"}) == "Mara"
     assert requests.resolve_agent(None, {}) is None
 
 
