@@ -11,9 +11,10 @@ five coordinates miss one pair in 150,000. No bucket is expanded into its pairs:
 1. equal sets are one node with a count, found by their digest;
 2. in turns, each bucket has a pivot, chosen by hash, and each node whose component differs from the pivot's gets
    one pivot to be checked against. Accepted pairs join components. This goes on until few nodes move;
-3. what is left is exact: in every bucket, nodes outside of its pivot's component are paired with all nodes of other
-   components. A comparison of signatures, three bits a coordinate, precedes the check and passes all but one in a
-   million of the pairs that are similar enough.
+3. what is left is exact: buckets that hold several components are compared in tiles of bounded size, each pair of
+   nodes of different components in the first band that they share. Only accepted pairs leave a task.
+A comparison of signatures, three bits a coordinate, precedes each check and passes all but one in a million of the
+pairs that are similar enough.
 A check reads both whole sets. So two documents end in one class only along links that were checked.
 
 Defined results: a text of one to four words is one shingle; a text without words (null, empty) is a class of its own,
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, as_row, stage
+from palimpsest.llm.common import SPACE, as_row, partitions, stage, tiled
 from palimpsest.llm.components import components
 from palimpsest.llm.packing import by_size
 
@@ -45,6 +46,8 @@ PLANES, LANES = 3, -(-COORDINATES // 64)
 MOST_APART = 50
 #: Turns with pivots go on while more than one node in so many moves.
 FEW = 1000
+#: Nodes of a bucket that a task holds at a time are at most twice so many.
+TILE = 2048
 KEPT_WORDS = 400_000
 BATCH_BYTES = 4_000_000
 
@@ -232,6 +235,14 @@ def _alike(pairs: DataFrame, state: DataFrame, least: float) -> DataFrame:
     )
 
 
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is large enough."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (len(both) - common)
+
+
 def checked(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs (a, b, ...) whose sets are similar enough. The comparison is of whole sets."""
     kept = pairs.columns
@@ -240,13 +251,8 @@ def checked(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(len(kept)), batch.column(len(kept) + 1)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                alike.append(common >= least * (len(both) - common))
+            pairs_ = zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
+            alike = [_similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in pairs_]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)], names=kept).filter(pa.array(alike, pa.bool_()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
@@ -273,17 +279,85 @@ def _turn(buckets: DataFrame, state: DataFrame, sets: DataFrame, least: float, t
     return stage(checked(one.select("a", "p.b", "p.ca", "p.cb"), sets, least), "accepted")
 
 
-def _rest(buckets: DataFrame, state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Accepted pairs among all pairs in a bucket that are in different components still."""
+def _links_of_group(table: dict[str, list], least: float) -> list[tuple[bytes, bytes, bytes, bytes]]:
+    """Accepted pairs of nodes of one bucket in different components, no more than join what they join."""
+    names: dict[bytes, int] = {}
+    component = np.array([names.setdefault(c, len(names)) for c in table["component"]])
+    if len(names) < 2:
+        return []
+    size = np.array(table["size"])
+    # Unsigned: numpy counts the bits of absolute values.
+    sketch = np.array(table["sketch"], np.int64).view(np.uint64).reshape(len(component), PLANES, LANES)
+    bands, own = np.array(table["bands"], np.int64), np.array(table["own"])
+    band = int(np.flatnonzero(bands[0] == table["bucket"])[0])
+    two_tiles = table["low"] != table["high"]
+    joined = list(range(len(names)))
+
+    def root(c: int) -> int:
+        while joined[c] != c:
+            c = joined[c] = joined[joined[c]]
+        return c
+
+    sets = [np.frombuffer(e, np.uint32) for e in table["elements"]]
+    found = []
+    for low in range(0, len(component), 256):
+        block = slice(low, low + 256)
+        able = (component[block, None] != component[None, :]) & (np.arange(len(component))[None, :] > np.arange(len(component))[block, None])
+        if two_tiles:
+            able &= own[block, None] != own[None, :]
+        able &= np.minimum(size[block, None], size[None, :]) >= least * np.maximum(size[block, None], size[None, :])
+        i, j = np.nonzero(able)
+        i += low
+        # A pair is looked at in the first band that both share.
+        first = ~(bands[i, :band] == bands[j, :band]).any(1)
+        i, j = i[first], j[first]
+        apart = np.bitwise_count(np.bitwise_or.reduce(sketch[i] ^ sketch[j], axis=1)).sum(1)
+        for x, y in zip(i[apart <= MOST_APART], j[apart <= MOST_APART]):
+            a, b = root(component[x]), root(component[y])
+            if a != b and _similar(sets[x], sets[y], least):
+                joined[max(a, b)] = min(a, b)
+                found.append(tuple(table[c][k] for c, k in (("node", x), ("node", y), ("component", x), ("component", y))))
+    return found
+
+
+def _rest(buckets: DataFrame, state: DataFrame, profiles: DataFrame, least: float) -> DataFrame:
+    """Accepted pairs among all pairs in a bucket that are in different components still.
+
+    Pairs are looked at in tiles of a bucket, in tasks that stream over sorted rows, and only accepted ones leave.
+    """
     named = stage(buckets.join(state.select("node", "component"), "node"), "named")
-    main = named.groupBy("bucket").agg(F.min("component").alias("_main"), F.max("component").alias("_other"))
-    named = named.join(main.where(F.col("_main") != F.col("_other")).drop("_other"), "bucket")
-    named = stage(named, "mixed-buckets")
-    outside = named.where(F.col("component") != F.col("_main")).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    every = named.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("_main")).alias("_in_main"))
-    # A pair of two outsiders comes up twice; one order of them is enough.
-    pairs = outside.join(every, "bucket").where(F.col("ca") != F.col("cb")).where(F.col("_in_main") | (F.col("a") < F.col("b")))
-    return stage(checked(_alike(pairs.select("a", "b").distinct(), state, least), sets, least), "accepted")
+    mixed_ = named.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    named = named.join(mixed_.where(F.col("_low") != F.col("_high")).select("bucket"), "bucket")
+    tiles = tiled(stage(named, "mixed-buckets"), "bucket", TILE).join(profiles, "node")
+    keys = ["bucket", "low", "high"]
+    columns = [*keys, "own", "node", "component", "size", "sketch", "bands", "elements"]
+    tiles = tiles.select(*columns).repartition(partitions(tiles.sparkSession), *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: dict[str, list] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            links = _links_of_group(group, least) if group else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], names=["a", "b", "ca", "cb"])
+
+        for batch in batches:
+            ids = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
+            for low, high in zip(edges, edges[1:]):
+                if high == low:
+                    continue
+                key = dict(zip(keys, ids[low].tolist()))
+                part = {c: batch.column(k + 3).slice(low, high - low).to_pylist() for k, c in enumerate(columns[3:])}
+                if group and all(group[k] == v for k, v in key.items()):
+                    for c, values in part.items():
+                        group[c].extend(values)
+                else:
+                    yield from given()
+                    group = key | part
+        yield from given()
+
+    return stage(tiles.mapInArrow(run, "a binary, b binary, ca binary, cb binary"), "accepted")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = False) -> DataFrame:
@@ -302,8 +376,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("bucket")
     buckets = stage(banded.join(shared, "bucket"), "buckets")
-    members = stage(nodes.drop("bands").join(buckets.select("node").distinct(), "node"), "members")
-    sets = stage(_sets(docs, members, weighted), "sets")
+    members = stage(nodes.join(buckets.select("node").distinct(), "node"), "members")
+    profiles = stage(members.select("node", "size", "sketch", "bands").join(_sets(docs, members, weighted), "node"), "profiles")
+    sets = profiles.select("node", "elements")
     state = members.select("node", "size", "sketch", F.col("node").alias("component"))
     n, turn = members.count(), 0
     while True:
@@ -314,7 +389,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
         if moved * FEW <= n:
             break
         turn += 1
-    accepted = _rest(buckets, state, sets, least)
+    accepted = _rest(buckets, state, profiles, least)
     state = _joined(state, accepted)
     owned = nodes.select("node", "least").join(state.select("node", "component"), "node", "left")
     owned = owned.withColumn("component", F.coalesce("component", "node"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage
+from palimpsest.llm.common import stage, tiled
 from palimpsest.llm.components import components
 
 LEAST = 0.93
@@ -150,18 +150,6 @@ def dealt(nodes: DataFrame, forests: dict[int, Forest], leaf_rows: int = LEAF_RO
     )
 
 
-def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
-    """Rows with (low, high), the pairs of tiles of their group that they are in, and `own`, their tile.
-
-    A group of k tiles has k (k + 1) / 2 tasks' worth of pairs, and each of its rows is in k of them.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    counts = counts.select(key, F.ceil(F.col("_n") / F.lit(float(tile))).alias("_k"))
-    rows = rows.join(counts, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_k")))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    return rows.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_other", "_k")
-
-
 def _spanning(close: np.ndarray) -> np.ndarray:
     """For each row the smallest row that it is linked with, over any number of links."""
     names = np.arange(len(close))
@@ -184,7 +172,7 @@ def links_in_cells(cells: DataFrame, least: float = LEAST, tile: int = TILE) ->
         rows = np.flatnonzero(names != np.arange(len(names)))
         return pa.table({"a": pa.array([nodes[i] for i in rows], pa.binary()), "b": pa.array([nodes[names[i]] for i in rows], pa.binary())})
 
-    tiles = _tiled(cells, "cell", tile)
+    tiles = tiled(cells, "cell", tile)
     return tiles.groupBy("cell", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
 
 
@@ -201,7 +189,7 @@ def links_counted(members: DataFrame, least: float = LEAST, tile: int = TILE) ->
             close &= own[:, None] != own[None, :]
         return pa.table({"node": table.column("node"), "links": pa.array(close @ copies)})
 
-    tiles = _tiled(members, "component", tile)
+    tiles = tiled(members, "component", tile)
     found = tiles.groupBy("component", "low", "high").applyInArrow(run, "node binary, links long")
     return found.groupBy("node").agg(F.sum("links").alias("links"))
 
