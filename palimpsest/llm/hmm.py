@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -143,18 +144,19 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
                 class_of: list[int] = []
                 rows: list[list] = [[] for _ in names]
                 for doc, text, out in zip(*(part.column(i).to_pylist() for i in (0, 1, 2))):
-                    rare, symbols = [], []
-                    for word in words_of(text):
-                        symbol = own.get(word)
-                        if symbol is None:
-                            at = places.get(word)
-                            if at is None:
-                                at = places[word] = len(class_of)
-                                class_of.append(first_class + word_class(word))
-                            rare.append(at)
-                            symbol = class_of[at]
-                        symbols.append(symbol)
-                    for column, value in zip(rows, (number, doc, out, np.array(symbols, "<u2").tobytes(), np.array(rare, "<u4").tobytes(), None)):
+                    words = words_of(text)
+                    symbols = np.array(list(map(own.get, words, repeat(65_535))), np.uint16)
+                    at = np.flatnonzero(symbols == 65_535)
+                    rare = []
+                    for k in at.tolist():
+                        word = words[k]
+                        place = places.get(word)
+                        if place is None:
+                            place = places[word] = len(class_of)
+                            class_of.append(first_class + word_class(word))
+                        rare.append(place)
+                    symbols[at] = [class_of[place] for place in rare]
+                    for column, value in zip(rows, (number, doc, out, symbols.astype("<u2", copy=False).tobytes(), np.array(rare, "<u4").tobytes(), None)):
                         column.append(value)
                 for column, value in zip(rows, (number, None, None, None, None, list(places))):
                     column.append(value)
@@ -166,56 +168,63 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
     return stage(rows.mapInArrow(run, fields), "encoded")
 
 
-def _by_length(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Sequences laid end to end, the longest first: (symbols, starts, order, how many are longer than t)."""
-    lengths = np.array([len(s) for s in sequences])
+def _in_time(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(symbols, edges, order): all first symbols, all second ones, and so on, the longest sequence first in each.
+
+    Step t is the slice from edges[t] to edges[t + 1]; its rows are the first ones of the step before.
+    """
+    lengths = np.array([len(s) for s in sequences], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
-    sorted_ = lengths[order]
-    starts = np.concatenate([[0], np.cumsum(sorted_)[:-1]])
-    alive = np.searchsorted(-sorted_, -np.arange(sorted_[0]), "left") if len(sorted_) else np.zeros(0, int)
-    return flat, starts, order, alive.tolist()
+    flat = np.concatenate([sequences[i] for i in order] or [np.zeros(0, np.int64)])
+    lengths = lengths[order]
+    step = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    alive = np.bincount(step, minlength=1) if len(flat) else np.zeros(0, np.int64)
+    return flat[np.argsort(step, kind="stable")].astype(np.int64), [0, *np.cumsum(alive).tolist()], order
 
 
 def log_likelihood(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence of symbols, by the scaled forward recursion."""
-    flat, starts, order, alive = _by_length(sequences)
-    total = np.zeros(len(sequences))
-    state = np.tile(start, (len(sequences), 1))
-    for t, n in enumerate(alive):
-        here = emit[flat[starts[:n] + t]]
-        state = (state[:n] if t == 0 else state[:n] @ move) * here
-        scale = state.sum(1)
-        total[:n] += np.log10(scale)
+    symbols, edges, order = _in_time(sequences)
+    emitted, scales = emit[symbols], np.empty(len(symbols))
+    state = start[None, :]
+    for t, (low, high) in enumerate(zip(edges, edges[1:])):
+        state = (state[: high - low] @ move if t else state) * emitted[low:high]
+        scales[low:high] = scale = state.sum(1)
         state /= scale[:, None]
-    result = np.empty(len(sequences))
-    result[order] = total
+    rows = np.concatenate([np.arange(high - low) for low, high in zip(edges, edges[1:])] or [np.zeros(0, np.int64)])
+    result = np.zeros(len(sequences))
+    result[order] = np.bincount(rows, np.log10(scales), len(sequences))
     return result
 
 
 def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts (start, move, emit) of sequences of symbols."""
-    flat, starts, _, alive = _by_length(sequences)
-    forward, scales = np.empty((len(flat), len(start)), emit.dtype), np.empty(len(flat), emit.dtype)
-    for t, n in enumerate(alive):
-        at = starts[:n] + t
-        state = (start[None, :] if t == 0 else forward[at - 1] @ move) * emit[flat[at]]
-        scale = state.sum(1)
-        scales[at] = scale
-        forward[at] = state / scale[:, None]
+    symbols, edges, _ = _in_time(sequences)
+    steps = list(zip(edges, edges[1:]))
+    weights, forward = emit[symbols], np.empty((len(symbols), len(start)), emit.dtype)
+    for t, (low, high) in enumerate(steps):
+        state = forward[low:high]
+        if t:
+            np.matmul(forward[edges[t - 1] : edges[t - 1] + high - low], move, out=state)
+        else:
+            state[:] = start
+        state *= weights[low:high]
+        scale = state.sum(1)[:, None]
+        state /= scale
+        weights[low:high] /= scale
     moves = np.zeros(move.shape)
-    state = np.ones((len(sequences), len(start)), emit.dtype)
-    for t in range(len(alive) - 1, 0, -1):  # `forward` becomes the probability of each state
-        n = alive[t]
-        at = starts[:n] + t
-        later = emit[flat[at]] * state[:n] / scales[at][:, None]
-        moves += forward[at - 1].T @ later
-        forward[at] *= state[:n]
-        state[:n] = later @ move.T
-    if alive:
-        forward[starts] *= state
-    emits = np.stack([np.bincount(flat, forward[:, k], len(emit)) for k in range(len(start))], 1)
-    return forward[starts].sum(0), moves * move, emits
+    later = np.ones((steps[0][1] if steps else 0, len(start)), emit.dtype)
+    for t in range(len(steps) - 1, 0, -1):  # `forward` becomes the probability of each state
+        low, high = steps[t]
+        n, before = high - low, edges[t - 1]
+        ahead = later[:n] * weights[low:high]
+        moves += forward[before : before + n].T @ ahead
+        forward[low:high] *= later[:n]
+        later[:n] = ahead @ move.T
+    first = slice(0, edges[1] if steps else 0)
+    forward[first] *= later
+    emits = np.stack([np.bincount(symbols, forward[:, k], len(emit)) for k in range(len(start))], 1)
+    return forward[first].sum(0), moves * move, emits
 
 
 def learned(model: Model, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
@@ -262,11 +271,24 @@ def one_turn(texts: DataFrame, model: Model) -> Model:
     return learned(model, table[n], table[n + 1 :], table[:n])
 
 
+def _most_frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """At most so many words, all those from some frequency on, by a histogram of the frequencies in small steps."""
+    step = F.floor(F.log2("n") * 64)
+    bars = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    total, least = 0, None
+    for bar in sorted(bars, key=lambda b: -b.step):
+        total += bar.words
+        if total > most:
+            break
+        least = bar.step
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def train(docs: DataFrame, states: int = STATES, turns: int = TURNS) -> tuple[Model, DataFrame, DataFrame]:
     """(model, counts of words, encoded texts). Learns from the rows that are not held out."""
     counts = stage(count_words(docs.where(~held_out(F.col("doc_id")))), "word-counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
-    frequent = list(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    top = _most_frequent(counts).toArrow()
+    frequent = sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     own = docs.sparkSession.sparkContext.broadcast({w for w, _ in frequent})
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
