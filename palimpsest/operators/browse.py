@@ -13,6 +13,7 @@ from palimpsest.functions.text import head, shorten_by_role
 from palimpsest.operators.filters import (
     as_time,
     days_before,
+    first_rows,
     listed_agent,
     minutes_before,
     same_name,
@@ -44,15 +45,16 @@ def recent(
     minutes: int = 30,
     agent: str | None = None,
     surface: str = "web",
+    rows: int | None = TRANSCRIPT_ROWS,
+    most_minutes: int | None = 120,
 ) -> DataFrame:
-    """Transcript of the last minutes, oldest first, at most 500 rows."""
-    minutes = max(1, min(minutes, 120))
+    """Transcript of the last minutes, oldest first; without `rows` and `most_minutes` it is whole."""
+    minutes = max(1, minutes if most_minutes is None else min(minutes, most_minutes))
     level, limits = ("web", WEB_LIMITS) if surface == "web" else ("transcript", TOOL_LIMITS)
     window = messages.where(F.col("timestamp") >= minutes_before(now, minutes))
     joined = with_session(window, _listed(sessions, level, agent), "agent_id")
     return (
-        joined.orderBy("timestamp", "message_index", "id")
-        .limit(TRANSCRIPT_ROWS)
+        first_rows(joined.orderBy("timestamp", "message_index", "id"), rows)
         .select(
             "session_id", "agent_id", "id", "role",
             shorten_by_role(F.col("role"), F.col("content"), limits).alias("content"),

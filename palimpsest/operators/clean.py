@@ -23,7 +23,7 @@ from palimpsest.fixed_values import (
 )
 from palimpsest.functions.noise import noise_reason, passes_noise_filter
 from palimpsest.functions.text import head, is_blank, is_single_emoji
-from palimpsest.operators.filters import as_time, sessions_keyed, with_session
+from palimpsest.operators.filters import as_time, first_rows, sessions_keyed, with_session
 from palimpsest.operators.once import computed_once
 from palimpsest.operators.skew import join_on_sized_key
 
@@ -69,17 +69,12 @@ def repeated_per_session(messages: DataFrame) -> DataFrame:
     )
 
 
-def repeated_messages(messages: DataFrame, sessions: DataFrame, limit: int = DUPLICATE_PAGE) -> DataFrame:
-    """Sessions holding repeated messages, most surplus rows first.
+def repeated_messages(messages: DataFrame, sessions: DataFrame, limit: int | None = DUPLICATE_PAGE) -> DataFrame:
+    """Sessions holding repeated messages, most surplus rows first; all of them for None.
 
-    The page is cut before its previews are read, so the list that is broadcast
-    holds at most `limit` session ids.
+    The page is cut before its previews are read.
     """
-    page = (
-        repeated_per_session(messages)
-        .orderBy(F.desc("duplicate_rows"), "session_id")
-        .limit(limit)
-    )
+    page = first_rows(repeated_per_session(messages).orderBy(F.desc("duplicate_rows"), "session_id"), limit)
     sample = (
         messages.where(F.col("content").isNotNull())
         .select(
@@ -179,13 +174,9 @@ def similar_groups(keys: DataFrame) -> DataFrame:
     )
 
 
-def similar_messages(messages: DataFrame, tier: str = "exact", limit: int = DUPLICATE_PAGE) -> DataFrame:
-    """Largest groups of similar messages, shown by their oldest member."""
-    page = (
-        similar_groups(message_keys(messages, tier))
-        .orderBy(F.desc("copies"), "keep_id")
-        .limit(limit)
-    )
+def similar_messages(messages: DataFrame, tier: str = "exact", limit: int | None = DUPLICATE_PAGE) -> DataFrame:
+    """Largest groups of similar messages, shown by their oldest member; all groups for None."""
+    page = first_rows(similar_groups(message_keys(messages, tier)).orderBy(F.desc("copies"), "keep_id"), limit)
     fingerprint = (
         F.lit(None).cast("string")
         if tier == "exact"
@@ -277,9 +268,9 @@ def junk(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def junk_page(messages: DataFrame, sessions: DataFrame, limit: int = JUNK_PAGE) -> DataFrame:
+def junk_page(messages: DataFrame, sessions: DataFrame, limit: int | None = JUNK_PAGE) -> DataFrame:
     """First junk rows: blank ones, then orphans, then emoji, by id."""
-    return junk(messages, sessions).orderBy("category", "id").limit(limit)
+    return first_rows(junk(messages, sessions).orderBy("category", "id"), limit)
 
 
 def junk_counts(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -305,8 +296,8 @@ def noise(messages: DataFrame) -> DataFrame:
     )
 
 
-def noise_page(messages: DataFrame, limit: int = NOISE_PAGE) -> DataFrame:
-    return noise(messages).orderBy("id").limit(limit)
+def noise_page(messages: DataFrame, limit: int | None = NOISE_PAGE) -> DataFrame:
+    return first_rows(noise(messages).orderBy("id"), limit)
 
 
 def noise_counts(messages: DataFrame) -> DataFrame:

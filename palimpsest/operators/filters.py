@@ -73,6 +73,11 @@ def listed_agent(level: str = "web") -> Column:
     return keep & ~F.startswith(F.lower(F.col("session_id")), F.lit("boot-"))
 
 
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """A page of ordered rows; all of them for None."""
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def sessions_keyed(sessions: DataFrame, *columns: str) -> DataFrame:
     """Sessions under the name messages use for them, with their size."""
     named = sessions.withColumnRenamed("id", "session_id")

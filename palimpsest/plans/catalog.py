@@ -360,6 +360,16 @@ def recent_transcript(spark, folder):
     return found.select("session_id", "agent_id", "id", "role", "content", shown_time("timestamp").alias("at"), "message_index")
 
 
+@query
+def recent_whole(spark, folder):
+    """The transcript of all time, without a limit on rows or minutes."""
+    rows = model.messages(spark, folder)
+    found = browse.recent(
+        rows, model.sessions(spark, folder), latest(rows, "timestamp"), 60_000_000, rows=None, most_minutes=None
+    )
+    return found.select("session_id", "agent_id", "id", "role", "content", shown_time("timestamp").alias("at"), "message_index")
+
+
 @query
 def recent_truncated(spark, folder):
     """The transcript of the tool interface: long answers cut."""
@@ -518,6 +528,23 @@ def dup_exact_ids(spark, folder):
     return clean.repeated_ids(model.corpus(spark, folder))
 
 
+@query
+def dup_exact_all(spark, folder):
+    """Every session with repeated messages, not a page of them."""
+    found = clean.repeated_messages(model.corpus(spark, folder), model.corpus_sessions(spark, folder), limit=None)
+    return found.withColumn("started_at", shown_time("started_at"))
+
+
+@query
+def dup_cross_exact_all(spark, folder):
+    return clean.similar_messages(model.corpus(spark, folder), "exact", limit=None)
+
+
+@query
+def dup_medium_all(spark, folder):
+    return clean.similar_messages(model.corpus(spark, folder), "medium", limit=None)
+
+
 @query
 def dup_cross_exact(spark, folder):
     return clean.similar_messages(model.corpus(spark, folder), "exact")
@@ -600,6 +627,11 @@ def noise_ids(spark, folder):
     return clean.noise_ids(model.stained_corpus(spark, folder))
 
 
+@query
+def noise_all(spark, folder):
+    return clean.noise_page(model.stained_corpus(spark, folder), limit=None)
+
+
 @query
 def noise_page(spark, folder):
     return clean.noise_page(model.stained_corpus(spark, folder))

@@ -189,7 +189,7 @@ SQL["sem_topk"] = f"""{with_(VECTORS, CENTROIDS, CORPUS, CORPUS_SESSIONS)},
 best AS (
   SELECT c.id, c.session_id, s.agent_id, c.role, c.content, k.score
   FROM cosines k JOIN corpus c ON k.message_id = c.id JOIN corpus_sessions s ON c.session_id = s.id
-  WHERE k.query = 3 AND k.score >= 0.1 ORDER BY k.score DESC, c.id LIMIT 60),
+  WHERE k.query = 3 AND k.score >= 0.1),
 once AS (SELECT *, row_number() OVER (PARTITION BY role || ':' || left(content, 200) ORDER BY score DESC, id) AS copy FROM best)
 SELECT id, session_id, agent_id, role, round(once.score, 5) AS score FROM once WHERE copy = 1
 ORDER BY once.score DESC, id LIMIT 20"""
@@ -197,7 +197,7 @@ SQL["sem_fingerprint"] = f"""{with_(VECTORS, CENTROIDS, CORPUS, CORPUS_SESSIONS,
 best AS (
   SELECT c.id, c.role, c.content, k.score
   FROM cosines k JOIN stained c ON k.message_id = c.id JOIN corpus_sessions s ON c.session_id = s.id
-  WHERE k.query = 5 AND lower(s.agent_id) = 'src4' ORDER BY k.score DESC, c.id LIMIT 90),
+  WHERE k.query = 5 AND lower(s.agent_id) = 'src4'),
 once AS (SELECT *, row_number() OVER (PARTITION BY role || ':' || left(coalesce(content, ''), 200) ORDER BY score DESC, id) AS copy FROM best)
 SELECT id, role, round(once.score, 5) AS score FROM once WHERE copy = 1 ORDER BY once.score DESC, id LIMIT 30"""
 SQL["sem_thoughts"] = f"""{with_(VECTORS, CENTROIDS, NOTES)}
@@ -317,6 +317,9 @@ SELECT m.session_id, s.agent_id, m.id, m.role, m.content, {shown('m.timestamp')}
 FROM messages m JOIN sessions s ON m.session_id = s.id
 WHERE m.timestamp >= (SELECT max(timestamp) FROM messages) - INTERVAL 120 MINUTE AND {LISTED['web']}
 ORDER BY m.timestamp, m.message_index, m.id LIMIT 500"""
+SQL["recent_whole"] = f"""{with_(MESSAGES, SESSIONS)}
+SELECT m.session_id, s.agent_id, m.id, m.role, m.content, {shown('m.timestamp')} AS at, m.message_index
+FROM messages m JOIN sessions s ON m.session_id = s.id WHERE {LISTED['web']}"""
 TRANSCRIPT = f"""{with_(CORPUS, CORPUS_SESSIONS, TOOLED)},
 page AS (
   SELECT m.session_id, s.agent_id, s.message_count, m.id, m.role, m.content, m.timestamp
@@ -523,6 +526,7 @@ SELECT p.session_id, coalesce(s.agent_id, 'unknown') AS agent, coalesce(s.channe
        left(x.content, 100) AS sample_preview, x.role AS sample_role, p.bytes_saved
 FROM (SELECT * FROM per_session ORDER BY duplicate_rows DESC, session_id LIMIT 200) p
 LEFT JOIN corpus_sessions s ON s.id = p.session_id LEFT JOIN samples x ON x.session_id = p.session_id"""
+SQL["dup_exact_all"] = SQL["dup_exact"].replace(" LIMIT 200", "")
 SQL["dup_exact_summary"] = f"""{with_(CORPUS, REPEATED)}
 SELECT CAST(coalesce(sum(repeated_messages), 0) AS BIGINT) AS total_groups, CAST(coalesce(sum(duplicate_rows), 0) AS BIGINT) AS total_removable,
        round(coalesce(sum(bytes_saved), 0) / 1048576, 2) AS estimated_savings_mb, count(*) AS affected_sessions FROM per_session"""
@@ -567,6 +571,8 @@ WHERE length(c.content) > 20 AND c.id <> a.keep_id"""
 SQL["dup_cross_exact"] = similar_report("exact")
 SQL["dup_high"] = similar_report("high")
 SQL["dup_medium"] = similar_report("medium")
+SQL["dup_cross_exact_all"] = similar_report("exact").replace(" LIMIT 200", "")
+SQL["dup_medium_all"] = similar_report("medium").replace(" LIMIT 200", "")
 SQL["dup_summary"] = (
     with_(CORPUS, *[similar(t, name=f"alike_{t}") for t in TIER_TEXT])
     + " UNION ALL ".join(similar_totals(t, f"alike_{t}") for t in TIER_TEXT)
@@ -617,6 +623,7 @@ NOISY = with_(CORPUS, STAINED, NOISE)
 SQL["noise_reasons"] = f"{NOISY} SELECT reason, count(*) AS messages FROM noise GROUP BY reason"
 SQL["noise_ids"] = f"{NOISY} SELECT id FROM noise"
 SQL["noise_page"] = f"{NOISY} SELECT id, role, session_id, left(content, 300) AS content, reason FROM noise ORDER BY id LIMIT 500"
+SQL["noise_all"] = SQL["noise_page"].replace(" LIMIT 500", "")
 SQL["noise_at_ingest"] = f"""{with_(CORPUS, STAINED)}
 SELECT id, {NOISE_CASE} AS reason FROM stained WHERE {NOISE_CASE} IS NOT NULL"""
 SQL["emb_orphans"] = f"""{with_(MESSAGES)}
