@@ -314,4 +314,26 @@ JUNK_PAGE = 500
 NOISE_PAGE = 500
 AUTHOR_MIN_MESSAGES = 5
 AUTHOR_MIN_DAYS = 7
-REDACTION_SAMPLE_IDS = 20
+
+# --- fixed values: texts shown to readers ------------------------------------
+SHOWN_RULE = "=" * 60
+SHOWN_SECTIONS = ["CONVERSATIONS", "THOUGHTS", "FILES"]
+SHOWN_CONVERSATION = "\n#%d | %s | %s | %s\n   [%s] %s"
+SHOWN_THOUGHT = "\n#%d | %s via %s | %s\n   %s"
+SHOWN_FILE = "\n#%d | %s | %s:%d\n   -> %s"
+SHOWN_TRANSCRIPT = "=== Recent Transcript (last %d min, %d messages across %d session(s)) ===\n"
+SHOWN_SESSION = "--- %s (%s) | %s | session:%s ---"
+SHOWN_MESSAGE = "[%s] %s"
+SHOWN_NO_TRANSCRIPT = "No messages found in the last %d minutes."
+SHOWN_ACTIVITY = "Recent activity (%d sessions):\n"
+SHOWN_ACTIVITY_ROW = "- [%s] %s (%d msgs): %s"
+SHOWN_NO_ACTIVITY = "No recent activity found."
+SHOWN_CAPTURED = "Total captured: %d"
+SHOWN_CAPTURED_ROW = "  %s: %s"
+SHOWN_LATEST = "\nLatest captures:"
+SHOWN_LINE_HIT = "#%d | Agent: %s | %s:%d"
+SHOWN_LINE = "-> %s"
+SHOWN_LINE_CONTEXT = "  %s"
+SHOWN_NO_LINES = "No results found in markdown files."
+SHOWN_NOTE_STORED = "Captured thought #%d (%s)"
+SHOWN_EMBEDDED = ["with embedding", "without embedding"]

@@ -165,7 +165,3 @@ def summary_sentence(conversations: Column, files: Column, notes: Column) -> Col
             notes.cast("string"), F.lit(" thought matches"),
         ),
     ).otherwise(F.concat(base, F.lit(" and "), file_part))
-
-
-def home_relative(path: Column, home: str) -> Column:
-    return F.replace(path, F.lit(home.rstrip("/") + "/"), F.lit("~/"))

@@ -332,8 +332,3 @@ def embedding_backlog(notes: DataFrame, vectors: DataFrame, min_chars: int) -> D
     return notes.where(F.char_length("content") >= min_chars).join(
         vectors.select(F.col("note_id").alias("id")), "id", "left_anti"
     )
-
-
-def backfill_start(now, days: int) -> Column:
-    """Start of a mail backfill: midnight `days` ago."""
-    return F.date_trunc("DAY", days_before(now, days))

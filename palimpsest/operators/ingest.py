@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -302,13 +300,3 @@ def not_stored(new: DataFrame, messages: DataFrame) -> DataFrame:
 def replaced_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
     """Sessions after new rows took the place of those with the same id."""
     return sessions.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
-
-
-def index_totals(results: DataFrame) -> Mapping[str, Column]:
-    """Aggregates of an indexing run: files indexed and skipped, messages."""
-    indexed = F.col("action") != "skip"
-    return {
-        "indexed": F.count_if(indexed),
-        "skipped": F.count_if(~indexed),
-        "messages": F.coalesce(F.sum("messages"), F.lit(0)),
-    }

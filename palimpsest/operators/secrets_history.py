@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.fixed_values import REDACTION_SAMPLE_IDS
 from palimpsest.functions.secrets import family_counts, redact
 from palimpsest.operators.once import computed_once
 
@@ -44,7 +43,3 @@ def redaction_report(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return changed_rows(rows, row_id, text).agg(F.count(F.lit(1)).alias("redacted")).select(
         scanned.alias("scanned"), "redacted"
     )
-
-
-def sample_ids(rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    return changed_rows(rows, row_id, text).select(row_id).orderBy(row_id).limit(REDACTION_SAMPLE_IDS)

@@ -846,6 +846,41 @@ def ingest_sessions(spark, folder):
     )
 
 
+@query
+def raw_lines(spark, folder):
+    """Every line that is a JSON object, whatever its shape."""
+    kind = F.try_variant_get(F.col("entry"), "$.type", "string")
+    return ingest.parse_raw(derived.session_lines(spark, folder)).select("path", "offset", kind.alias("type"))
+
+
+@query
+def append_guard(spark, folder):
+    """New messages without those whose place in the session is stored already."""
+    rows = model.messages(spark, folder)
+    stored = rows.where(F.col("message_index") % 3 != 0)
+    return ingest.not_stored(rows, stored).select("id", "session_id", "message_index")
+
+
+@query
+def replaced_sessions(spark, folder):
+    """Sessions after every second one was indexed anew."""
+    known = model.sessions(spark, folder)
+    anew = known.where(F.col("id").cast("long") % 2 == 0).withColumn("message_count", F.col("message_count") + 1)
+    return ingest.replaced_sessions(known, anew).select("id", "agent_id", "message_count")
+
+
+@query
+def deleted_notes(spark, folder):
+    """Notes and their vectors without some of them."""
+    rows = model.notes(spark, folder)
+    ids = rows.where(F.col("id") % 4 == 1).select("id")
+    vectors = rows.select(F.col("id").alias("note_id"))
+    left = capture.delete_notes(rows, vectors, ids)
+    return left["notes"].select("id", F.lit("note").alias("kind")).unionByName(
+        left["deleted"].select("id", F.lit("deleted").alias("kind"))
+    ).unionByName(left["embeddings"].select(F.col("note_id").alias("id"), F.lit("vector").alias("kind")))
+
+
 @query
 def ingest_status(spark, folder):
     planned = ingest.plan_files(

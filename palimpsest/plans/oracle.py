@@ -505,6 +505,18 @@ SELECT path, message_index, role, content, {shown('t')} AS at FROM numbered"""
 SQL["ingest_sessions"] = f"""{with_(INGESTED)}
 SELECT path, count(*) AS message_count, {shown('arg_min(t, turn) FILTER (t IS NOT NULL)')} AS started,
        {shown('arg_max(t, turn) FILTER (t IS NOT NULL)')} AS ended FROM numbered GROUP BY path"""
+SQL["raw_lines"] = f"""{with_(INGESTED)}
+SELECT '/srv/agents/main/sessions/s' || conv_id || '.jsonl' AS path, turn * 100000 AS "offset",
+       CASE shape WHEN 0 THEN 'message' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' WHEN 4 THEN 'message' WHEN 5 THEN 'message'
+         WHEN 7 THEN 'summary' END AS type FROM lines WHERE shape <> 6"""
+SQL["append_guard"] = f"""{with_(MESSAGES)}
+SELECT id, session_id, message_index FROM messages m
+WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.session_id = m.session_id AND s.message_index = m.message_index AND s.message_index % 3 <> 0)"""
+SQL["replaced_sessions"] = f"""{with_(MESSAGES, SESSIONS)}
+SELECT id, agent_id, message_count + CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS message_count FROM sessions"""
+SQL["deleted_notes"] = f"""{with_(NOTES)}
+SELECT id, 'note' AS kind FROM notes WHERE id % 4 <> 1 UNION ALL SELECT id, 'vector' FROM notes WHERE id % 4 <> 1
+UNION ALL SELECT id, 'deleted' FROM notes WHERE id % 4 = 1"""
 SQL["time_in_text"] = """
 SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 40 BETWEEN 1 AND 28
   THEN '2026-02-' || lpad(CAST(doc_id % 40 AS VARCHAR), 2, '0') || ' 10:25:00' END AS at FROM documents"""

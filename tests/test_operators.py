@@ -56,10 +56,10 @@ def test_recent_rules(spark):
     assert len(page.where("id = 3").first()["content"]) == 503
     assert ids(browse.recent(rows, known, NOW, 999)) == [1, 2, 3, 4, 5, 6, 7, 9]
     assert ids(browse.recent(rows, known, NOW, 30, agent="Butler")) == [1, 2, 3, 4]
-    shown = display.transcript_page(browse.recent(rows, known, NOW, 30, surface="tool"), 30)
+    shown = display.transcript_page(browse.recent(rows, known, NOW, 30, surface="tool"), 30).first()["text"]
     assert "7 messages across 2 session(s)" in shown and "butler (4 msgs)" in shown
-    assert display.transcript_page(browse.recent(rows, known, "2027-01-01", 5), 5).startswith("No messages")
-    assert "(5 msgs)" in display.activity_page(browse.activity(rows, known, NOW, surface="tool"))
+    assert display.transcript_page(browse.recent(rows, known, "2027-01-01", 5), 5).first()["text"].startswith("No messages")
+    assert "(5 msgs)" in display.activity_page(browse.activity(rows, known, NOW, surface="tool")).first()["text"]
     flags = browse.context(spark.createDataFrame([("b1", 3)], "session_id string, message_id bigint"), rows, 1)
     assert [(r["id"], r["is_match"], r["has_more_before"], r["has_more_after"]) for r in flags.orderBy("id").collect()] == [
         (2, False, True, False), (3, True, True, False), (4, False, True, False)]
@@ -154,10 +154,14 @@ def test_unified_search_page(spark):
     files = spark.createDataFrame([("/a.md", "main", "x\nthe red\nfox\n")], "path string, agent string, content string")
     library = search.Library(rows, known, vectors, notes, vectors, files)
     arms = search.unified_search(library, search.SearchRequest("red fox"))
-    page = display.search_page(arms)
+    page = display.search_page(arms).first()["text"]
     assert "Found 1 conversation matches and 2 file matches" in page and "#1 | ann | direct" in page
     assert set(search.unified_search(library, search.SearchRequest("red", files_only=True))) == {"files", "summary"}
-    assert "x" in display.line_page(lines.search_files(files, "red fox"), verbose=True)
+    shown = display.line_page(lines.search_files(files, "red fox"), verbose=True).first()["text"]
+    assert "#1 | Agent: main | /a.md:" in shown and "-> the red" in shown and "  x" in shown
+    assert display.line_page(lines.search_files(files, "absent"), verbose=True).first()["text"].startswith("No results")
+    status = spark.createDataFrame([("gmail", 2, "2026-01-02"), ("drive", 1, None)], "source string, captured long, latest string")
+    assert display.capture_page(status).first()["text"].startswith("Total captured: 3\n  drive: 1\n  gmail: 2\n\nLatest captures:\n")
 
 
 def test_vectors(spark):
