@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that a worker keeps in each of two generations, and pairs of pieces.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 KEPT_PAIRS = 1_000_000
 #: Longer words (texts without spaces) are worked out each time.
 LONGEST_KEPT = 64
@@ -100,7 +100,9 @@ class PrefixCounter:
                 count = counts[-1] + len(character.encode("utf-8", "surrogatepass"))
             else:
                 for n in lengths[character]:
-                    piece = word[end - n : end] if n <= end else ""
+                    if n > end:
+                        break
+                    piece = word[end - n : end]
                     if piece in pieces:
                         before = lasts[end - n]
                         fits = not before or pairs.get((before, piece))
