@@ -45,7 +45,7 @@ PLANES, LANES = 3, -(-COORDINATES // 64)
 #: Coordinates whose three bits differ: at similarity 0.8 the mean is 26.3 and the deviation 4.7; this is five above.
 MOST_APART = 50
 #: Turns with pivots go on while more than one node in so many moves.
-FEW = 1000
+FEW = 20
 #: Nodes of a bucket that a task holds at a time are at most twice so many.
 TILE = 2048
 KEPT_WORDS = 400_000
