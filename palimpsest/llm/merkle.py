@@ -109,7 +109,7 @@ def _range(bounds: list[int], ranges: int) -> Column:
     key, each = F.col("doc_id"), -(-ranges // max(1, len(bounds) - 1))
     place = F.lit(0).cast("long")
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        inside = F.floor((key - F.lit(low)).cast("double") / F.lit(float(high - low)) * each) if high > low else F.lit(0)
+        inside = F.floor((key.cast("double") - F.lit(float(low))) / F.lit(float(high - low)) * each) if high > low else F.lit(0)
         place = F.when(key >= F.lit(low), F.lit(i * each) + F.least(inside, F.lit(each - 1 if i < len(bounds) - 2 else each))).otherwise(place)
     return F.when(key.isNull(), F.lit(-1)).otherwise(place).cast("long")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, tiled
+from palimpsest.llm.common import hashed_sample, stage, tiled
 from palimpsest.llm.components import components
 
 LEAST = 0.93
@@ -113,7 +113,7 @@ def vectors_of(rows: DataFrame) -> DataFrame:
 
 def fitted(nodes: DataFrame, seed: int, sample_rows: int = SAMPLE_ROWS, **settings) -> dict[int, Forest]:
     """A forest for each length of vector in the sample."""
-    sample = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(sample_rows).toArrow()
+    sample = hashed_sample(nodes.select("node", "vector"), sample_rows, "node").toArrow()
     by_size: dict[int, list[bytes]] = {}
     for blob in sample.column("vector").to_pylist():
         by_size.setdefault(len(blob) // 8, []).append(blob)

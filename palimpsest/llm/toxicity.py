@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import hashed_sample
+
 MOST_ROWS = 20_000
 MIN_ROWS = 5
 FACTORS = 4
@@ -152,12 +154,8 @@ def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: int = 5, **settings) -> Machine:
     """Learns from labelled rows outside the held-out fold; at most `most_rows` of them, the first by hash."""
-    chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
-        .select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_toxic")
-        .limit(most_rows)
-    )
+    learnable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
+    chosen = hashed_sample(learnable.select("doc_id", F.col("toxic").cast("int").alias("_toxic")), most_rows, "doc_id", "_toxic")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
