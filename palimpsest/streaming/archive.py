@@ -27,8 +27,9 @@ MESSAGE_SCHEMA = (
     "id bigint, session_id string, role string, content string, timestamp timestamp_ntz, "
     "message_index int, source_file string, batch bigint"
 )
-# An id holds batch, task and row numbers: 19, 20 and 24 bits.
-TASK_BITS, ROW_BITS = 20, 24
+# An id holds batch, task and row numbers: 27, 14 and 22 bits, so batches last for 20 years at five seconds each. Task
+# and row numbers beyond their bits are an error, not another batch's ids.
+TASK_BITS, ROW_BITS = 14, 22
 
 
 @dataclass(frozen=True)
@@ -76,11 +77,13 @@ class Archive:
 
     def add_batch(self, lines: DataFrame, batch: int) -> None:
         """Store one micro-batch of session lines."""
-        lines = lines.persist()
-        try:
-            self._add(lines, batch)
-        finally:
-            lines.unpersist()
+        self._add(self._work(lines, "lines"), batch)
+
+    def _work(self, df: DataFrame, name: str) -> DataFrame:
+        """The batch's intermediate table in the shared folder; the next batch takes its place."""
+        path = f"{self.folder}/_work/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _add(self, lines: DataFrame, batch: int) -> None:
         log = self.log(before=batch)
@@ -93,18 +96,20 @@ class Archive:
         kept = ingest.parse_lines(
             join_on_sized_key(lines.select("path", "offset", "value"), files.select("path", "lines"), "path", "lines", "offset")
             .drop("lines")
-        ).persist()
+        )
+        kept = self._work(kept, "messages")
         known = files.join(log.withColumnRenamed("source_file", "path").drop("uuid", "last_byte_offset"), "path", "left")
         fresh = F.col("reload") | F.col("message_count").isNull()
         starts = known.select("path", F.when(fresh, F.lit(0)).otherwise(F.col("message_count")).alias("start_index"))
         numbered = ingest.number_messages(kept, starts)
         ids = F.monotonically_increasing_id()
         row = ids.bitwiseAND(F.lit((1 << 33) - 1))
-        safe_row = F.when(row < (1 << ROW_BITS), row).otherwise(
-            F.raise_error(F.lit("too many messages in one task; use more partitions")).cast("bigint")
+        task = F.shiftright(ids, 33)
+        safe_row = F.when((row < (1 << ROW_BITS)) & (task < (1 << TASK_BITS)), row).otherwise(
+            F.raise_error(F.lit("too many messages in one task, or too many tasks in one batch")).cast("bigint")
         )
         message_id = (
-            F.lit(batch << (TASK_BITS + ROW_BITS)) + F.shiftleft(F.shiftright(ids, 33), ROW_BITS) + safe_row
+            F.lit(batch << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + safe_row
         )
         self._write(
             numbered.select(
@@ -128,7 +133,6 @@ class Archive:
             ),
             "index_log", batch,
         )
-        kept.unpersist()
 
     @staticmethod
     def _first_of_uuid(ranges: DataFrame, log: DataFrame) -> DataFrame:
