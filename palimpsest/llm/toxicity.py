@@ -104,12 +104,12 @@ def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS
     labels = labels.astype(float)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
-    terms, counts = np.unique(np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]), return_counts=True)
-    marked = np.concatenate([np.array(r, np.int64) for r, y in zip(rows, labels) if y] or [np.zeros(0, np.int64)])
+    rows = [np.asarray(r, np.uint32) for r in rows]
+    nothing = [np.zeros(0, np.uint32)]
+    terms, counts = np.unique(np.concatenate(rows + nothing), return_counts=True)
+    found, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y] + nothing), return_counts=True)
     toxic = np.zeros(len(terms))
-    if len(marked):
-        found, times = np.unique(marked, return_counts=True)
-        toxic[np.searchsorted(terms, found)] = times
+    toxic[np.searchsorted(terms, found)] = times
     # Thousands of neutral terms in a long text would add up to noise: only terms that say something are kept.
     errors = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share))
     terms = terms[(counts >= min_rows) & (errors >= LEAST_ERRORS)]
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: i
     rows = (
         docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "_toxic").mapInArrow(hashed, "toxic int, terms binary").toArrow()
     )
-    found = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("terms").to_pylist()]
+    found = [np.frombuffer(x, np.uint32) for x in rows.column("terms").to_pylist()]
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes()))  # the same on each run
     marks = rows.column("toxic").to_numpy()
     return train([found[i] for i in order], marks[order] if len(order) else np.zeros(0), **settings)
