@@ -1,9 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 A tree splits the vectors by the median of their projections on a random direction, again and again; vectors close to
-a border go to both sides (spill overlap). The splits are learned from at most `sample_rows` vectors, chosen by hash;
-then every vector is dealt to its leaves in every tree. Leaves grow with the input, so a leaf that holds more vectors
-of a label than `leaf_rows` is split further, by as many of the leaf's prepared extra directions as its count asks for.
+a border go to both sides (spill overlap). The first splits are learned from at most `sample_rows` vectors, chosen by
+hash; then every vector is dealt to its leaves in every tree. Leaves grow with the input, so a leaf that holds more
+vectors of a label than `leaf_rows` grows a tree of its own, learned in a task from vectors of that leaf and label, with
+directions that no other leaf has and the same spill; and so on until the leaves are small. A split that would spare
+too few comparisons is not made; such leaves are compared whole.
+
+How many trees there are follows from the pairs that they find: for vectors of the sample a partner is made at the
+least similarity that links, half of them in any direction and half towards another vector. The partners are dealt like
+all vectors, at the depth that the input has, and trees are added until hardly a pair shares no cell. If `MOST_TURNS`
+turns do not get there, all vectors of a label are compared with each other.
 
 Vectors that share a leaf and a label are compared, in tiles of a bounded number of rows, so a leaf full of near
 copies is many small tasks. A tile does not give its pairs but a spanning forest of the links it found, one row for
@@ -19,11 +26,14 @@ one), and a row is kept if its vec_id is that. An empty table gives an empty tab
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import hashed_sample, stage, tiled
@@ -35,39 +45,60 @@ SPILL = 0.02
 SAMPLE_ROWS = 20_000
 SAMPLE_LEAF = 256
 LEAF_ROWS = 512
-EXTRA = 24
+#: A leaf's own tree is learned from about so many of its vectors, and split while a part holds this many of them.
+DEEP_ROWS, DEEP_LEAF = 1_024, 32
+#: A split is made if it leaves less than this share of the comparisons; so many directions are tried.
+SPARED, TRIES = 0.8, 4
+#: Made pairs, the share of them that must share a cell, and the turns of TREES trees to get there.
+PROBES, LEAST_MET, MOST_TURNS = 2_000, 0.9995, 16
 TILE = 512
+KEYS = ["leaf", "label", "size"]
 
 
 class Forest:
     """Splits for vectors of one length. A node of a tree is (direction, threshold) and two children."""
 
     def __init__(self, sample: np.ndarray, seed: int, trees: int = TREES, spill: float = SPILL, leaf: int = SAMPLE_LEAF) -> None:
-        generator = np.random.default_rng([seed, sample.shape[1]])
-        self.spill, self.directions, self.trees, self.extra = spill, [], [], []
-        self.more = generator.normal(size=(EXTRA, sample.shape[1]))
-        self.more /= np.linalg.norm(self.more, axis=1, keepdims=True)
-        for _ in range(trees):
-            self.trees.append(self._split(sample, np.arange(len(sample)), generator, leaf))
-
-    def _split(self, sample: np.ndarray, rows: np.ndarray, generator: np.random.Generator, leaf: int):
-        if len(rows) > leaf:
-            direction = generator.normal(size=sample.shape[1])
-            direction /= np.linalg.norm(direction)
-            along = sample[rows] @ direction
+        self.seed, self.size, self.spill, self.tried, self.n_leaves = seed, sample.shape[1], spill, 0, 0
+        self.used: list[int] = []
+        self.trees = [self._split(sample, np.arange(len(sample)), leaf) for _ in range(trees)]
+
+    def _direction(self, number: int) -> np.ndarray:
+        found = np.random.default_rng([self.seed, self.size, number]).normal(size=self.size)
+        return found / np.linalg.norm(found)
+
+    @cached_property
+    def directions(self) -> np.ndarray:
+        return np.array([self._direction(k) for k in self.used]).reshape(-1, self.size)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "directions"}
+
+    @classmethod
+    def of(cls, state: bytes) -> Forest:
+        forest = cls.__new__(cls)
+        forest.__dict__.update(pickle.loads(state))
+        return forest
+
+    def state(self) -> bytes:
+        return pickle.dumps(self.__getstate__())
+
+    def _split(self, sample: np.ndarray, rows: np.ndarray, leaf: int):
+        for _ in range(TRIES if len(rows) > leaf else 0):
+            self.tried += 1
+            along = sample[rows] @ self._direction(self.tried)
             border = float(np.median(along))
             left, right = rows[along < border + self.spill], rows[along >= border - self.spill]
-            if max(len(left), len(right)) < 0.9 * len(rows):
-                self.directions.append(direction)
-                own = len(self.directions) - 1
-                return own, border, self._split(sample, left, generator, leaf), self._split(sample, right, generator, leaf)
-        self.extra.append(np.median(sample[rows] @ self.more.T, axis=0) if len(rows) else np.zeros(EXTRA))
-        return len(self.extra) - 1
-
-    def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, bits): every leaf of every vector, and the side of each extra direction as a bit."""
-        along = vectors @ np.array(self.directions).reshape(-1, vectors.shape[1]).T
-        further = vectors @ self.more.T
+            if len(left) ** 2 + len(right) ** 2 < SPARED * len(rows) ** 2:
+                own = len(self.used)
+                self.used.append(self.tried)
+                return own, border, self._split(sample, left, leaf), self._split(sample, right, leaf)
+        self.n_leaves += 1
+        return self.n_leaves - 1
+
+    def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): every leaf of every vector."""
+        along = vectors @ self.directions.T
         found = []
         todo = [(tree, np.arange(len(vectors))) for tree in self.trees]
         while todo:
@@ -77,10 +108,9 @@ class Forest:
                 todo.append((left, rows[along[rows, own] < border + self.spill]))
                 todo.append((right, rows[along[rows, own] >= border - self.spill]))
             elif len(rows):
-                bits = (further[rows] >= self.extra[node]) @ (1 << np.arange(EXTRA - 1, -1, -1))
-                found.append((rows, np.full(len(rows), node), bits))
+                found.append((rows, np.full(len(rows), node)))
         if not found:
-            return (np.zeros(0, int),) * 3
+            return (np.zeros(0, int),) * 2
         return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -111,17 +141,94 @@ def vectors_of(rows: DataFrame) -> DataFrame:
     return read.withColumn("node", F.when(F.col("label").isNotNull() & F.col("vector").isNotNull(), node))
 
 
-def fitted(nodes: DataFrame, seed: int, sample_rows: int = SAMPLE_ROWS, **settings) -> dict[int, Forest]:
+def sampled(nodes: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pa.Table:
+    """node, label and vector of the first nodes by hash."""
+    return hashed_sample(nodes.select("node", "label", "vector"), sample_rows, "node").toArrow()
+
+
+def fitted(nodes: DataFrame | pa.Table, seed: int, sample_rows: int = SAMPLE_ROWS, **settings) -> dict[int, Forest]:
     """A forest for each length of vector in the sample."""
-    sample = hashed_sample(nodes.select("node", "vector"), sample_rows, "node").toArrow()
+    sample = nodes if isinstance(nodes, pa.Table) else sampled(nodes, sample_rows)
     by_size: dict[int, list[bytes]] = {}
     for blob in sample.column("vector").to_pylist():
         by_size.setdefault(len(blob) // 8, []).append(blob)
     return {n: Forest(unit(blobs), seed, **settings) for n, blobs in sorted(by_size.items())}
 
 
-def dealt(nodes: DataFrame, forests: dict[int, Forest], leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(cell, label, size, node, vector): the nodes in every cell that they belong to."""
+def probes(sample: pa.Table, least: float, seed: int) -> pa.Table:
+    """The first nodes of the sample, each with the vector of a partner that is just similar enough to link."""
+    sample = sample.slice(0, PROBES)
+    blobs = sample.column("vector").to_pylist()
+    sizes = np.array([len(b) // 8 for b in blobs])
+    generator = np.random.default_rng(seed)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        own = unit([blobs[i] for i in rows])
+        away = generator.normal(size=own.shape)
+        away[::2] = np.roll(own, 1, axis=0)[::2]
+        away -= (away * own).sum(1, keepdims=True) * own
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        away = np.divide(away, length, out=np.zeros_like(away), where=length > 1e-9)
+        partners = least * own + (1 - least**2) ** 0.5 * away
+        for i, partner in zip(rows, partners):
+            blobs[i] = partner.tobytes()
+    return sample.set_column(sample.column_names.index("vector"), "vector", pa.array(blobs, pa.binary()))
+
+
+def _cell() -> Column:
+    return F.struct(*KEYS).alias("cell")
+
+
+def _deepened(placed: DataFrame, leaf_rows: int) -> DataFrame:
+    """The nodes dealt on, until no leaf has more than so many of a label or none of the larger ones can be split."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        leaf, label, size, n = (table.column(c)[0].as_py() for c in (*KEYS, "_n"))
+        vectors = unit(table.column("vector").to_pylist())
+        own = max(DEEP_LEAF, -(-leaf_rows * len(vectors) // n))
+        tree = Forest(vectors, zlib.crc32(f"{leaf} {label}".encode("utf-8", "surrogatepass")), trees=1, leaf=own)
+        rows = [{"leaf": leaf, "label": label, "size": size, "split": tree.state()}] if tree.used else []
+        kinds = [("leaf", pa.string()), ("label", pa.string()), ("size", pa.int64()), ("split", pa.binary())]
+        return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, Forest] = {}
+        for batch in batches:
+            splits = batch.column(0).dictionary_encode()
+            which = splits.indices.to_numpy(zero_copy_only=False)
+            for k, split in enumerate(splits.dictionary.to_pylist()):
+                if split not in known:
+                    if len(known) >= 256:
+                        known.clear()
+                    known[split] = Forest.of(split)
+                part = batch.take(pa.array(np.flatnonzero(which == k)))
+                at, leaf = known[split].leaves(unit(part.column(1).to_pylist()))
+                part = part.take(pa.array(at))
+                names = [f"{a}.{b}" for a, b in zip(part.column(2).to_pylist(), leaf.tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:2], pa.array(names, pa.string()), *part.columns[3:]], names=columns)
+
+    columns = ["vector", "leaf", "label", "size", "node", "probe"]
+    placed, done = placed.select(*columns), []
+    while True:
+        real = placed.where(~F.col("probe"))
+        counts = stage(real.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > leaf_rows), "large")
+        if counts.isEmpty():
+            break
+        place = F.xxhash64("leaf", "node").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+        chosen = real.join(counts, KEYS).where(place * F.col("_n") <= F.lit(float(DEEP_ROWS))).select(*KEYS, "_n", "vector")
+        splits = stage(chosen.groupBy(*KEYS).applyInArrow(learn, "leaf string, label string, size long, split binary"), "splits")
+        if splits.isEmpty():
+            break
+        done.append(placed.join(splits, KEYS, "left_anti").select(*columns))
+        rows = placed.join(splits, KEYS).select("split", *columns)
+        placed = stage(rows.mapInArrow(run, "vector binary, leaf string, label string, size long, node binary, probe boolean"), "leaves")
+    for rows in done:
+        placed = placed.union(rows)
+    return placed
+
+
+def dealt(nodes: DataFrame, forests: dict[int, Forest], leaf_rows: int = LEAF_ROWS, name: str = "") -> DataFrame:
+    """(cell, node, vector, probe): the nodes in every cell that they belong to; cells' names begin with the name."""
     shared = nodes.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,22 +239,40 @@ def dealt(nodes: DataFrame, forests: dict[int, Forest], leaf_rows: int = LEAF_RO
                 rows = np.flatnonzero(sizes == n)
                 forest = shared.value.get(int(n))
                 if forest:
-                    at, leaf, bits = forest.leaves(unit([blobs[i] for i in rows]))
+                    at, leaf = forest.leaves(unit([blobs[i] for i in rows]))
                 else:  # a length that the sample lacks
-                    at, leaf, bits = np.arange(len(rows)), np.zeros(len(rows), int), np.zeros(len(rows), int)
+                    at, leaf = np.arange(len(rows)), np.full(len(rows), -1)
                 part = batch.take(pa.array(rows[at]))
-                extra = [pa.array(leaf, pa.int64()), pa.array(bits, pa.int64()), pa.array(np.full(len(at), n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=["node", "label", "vector", "leaf", "bits", "size"])
-
-    fields = "node binary, label string, vector binary, leaf long, bits long, size long"
-    placed = stage(nodes.select("node", "label", "vector").mapInArrow(run, fields), "leaves")
-    counts = placed.groupBy("leaf", "label", "size").agg(F.count(F.lit(1)).alias("_n"))
-    deep = F.greatest(F.lit(0), F.least(F.lit(EXTRA), F.ceil(F.log2(F.col("_n") / F.lit(float(leaf_rows))))))
-    counts = counts.withColumn("_cut", (F.lit(EXTRA) - deep).cast("int"))
-    rows = placed.join(counts, ["leaf", "label", "size"])
-    return rows.withColumn("cell", F.struct("leaf", "label", "size", F.expr("shiftright(bits, _cut)").alias("bits"))).select(
-        "cell", "node", "vector"
-    )
+                extra = [pa.array([f"{name}{k}" for k in leaf.tolist()], pa.string()), pa.array(np.full(len(at), n), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=["node", "label", "vector", "probe", "leaf", "size"])
+
+    probe = "probe" if "probe" in nodes.columns else F.lit(False).alias("probe")
+    fields = "node binary, label string, vector binary, probe boolean, leaf string, size long"
+    placed = stage(nodes.select("node", "label", "vector", probe).mapInArrow(run, fields), "leaves")
+    return _deepened(placed, leaf_rows).select(_cell(), "node", "vector", "probe")
+
+
+def cells_of(nodes: DataFrame, least: float = LEAST, seed: int = 7, leaf_rows: int = LEAF_ROWS, trees: int = TREES) -> DataFrame:
+    """(cell, node, vector): cells of as many trees as it takes for pairs at the least similarity to share one."""
+    sample = sampled(nodes)
+    pairs = probes(sample, least, seed)
+    made = nodes.sparkSession.createDataFrame(pairs).select("node", "label", "vector", F.lit(True).alias("probe"))
+    both = nodes.select("node", "label", "vector", F.lit(False).alias("probe")).union(made)
+    cells, met = [], set()
+    for turn in range(MOST_TURNS):
+        found = stage(dealt(both, fitted(sample, seed + turn, trees=trees), leaf_rows, f"{turn}-"), "cells")
+        real = found.where(~F.col("probe")).drop("probe")
+        cells.append(real)
+        shared = found.where("probe").select("cell", "node").join(real.select("cell", "node"), ["cell", "node"], "left_semi")
+        met.update(bytes(r.node) for r in shared.select("node").distinct().collect())
+        if len(met) >= LEAST_MET * len(pairs):
+            break
+    else:
+        size = F.floor(F.octet_length("vector") / 8).cast("long").alias("size")
+        return nodes.select("node", "label", "vector", size, F.lit("").alias("leaf")).select(_cell(), "node", "vector")
+    for more in cells[1:]:
+        cells[0] = cells[0].union(more)
+    return cells[0]
 
 
 def _spanning(close: np.ndarray) -> np.ndarray:
@@ -203,8 +328,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, seed: int = 7) -> Dat
         .agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("_least")),
         "nodes",
     )
-    cells = dealt(nodes, fitted(nodes, seed))
-    found = stage(components(links_in_cells(cells, least)), "components")
+    found = stage(components(links_in_cells(cells_of(nodes, least, seed), least)), "components")
     members = nodes.join(found, "node").select("component", "node", "vector", "copies")
     counted = links_counted(members, least)
     named = nodes.select("node", "copies", "_least").join(found, "node", "left").join(counted, "node", "left")

@@ -335,6 +335,29 @@ def test_tiles_and_deep_leaves_lose_nothing(spark):
     assert {r.links for r in projection_forest.links_counted(members, tile=16).collect()} == {299}
 
 
+def test_small_leaves_keep_pairs_together(spark):
+    generator = np.random.default_rng(8)
+    near = generator.normal(size=(2000, 64))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    away = generator.normal(size=near.shape)
+    away -= (away * near).sum(1, keepdims=True) * near
+    far = 0.931 * near + (1 - 0.931**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([near, far]))]
+    nodes = projection_forest.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
+    cells = projection_forest.cells_of(nodes, leaf_rows=48)
+    held = cells.join(nodes, "node").groupBy("cell").agg(F.collect_list("vec_id").alias("ids")).collect()
+    assert sum(len(r.ids) > 48 for r in held) < 0.2 * len(held)  # leaves were cut
+    met = {i for r in held for i in set(r.ids) if i < 2000 and i + 2000 in set(r.ids)}
+    assert len(met) >= 1996
+
+
+def test_whole_labels_where_trees_do_not_hold(spark, monkeypatch):
+    rows = [(i, np.random.default_rng(i).normal(size=16).tolist(), i % 2) for i in range(600)]
+    nodes = projection_forest.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    monkeypatch.setattr(projection_forest, "MOST_TURNS", 0)
+    assert {r["count"] for r in projection_forest.cells_of(nodes).groupBy("cell").count().collect()} == {300}
+
+
 # --- packing --------------------------------------------------------------------------
 
 
