@@ -7,9 +7,10 @@ the vectors of all pairs of its terms. So it learns that an insult next to a gro
 a sum of weights misses.
 
 The labelled rows to learn from are at most `most_rows`, chosen by hash, so the model is bounded at any input size:
-it knows the terms that at least `min_rows` of those rows hold, and
-whose rows are labelled 1 clearly more or less often than others. Their hashed terms are what reaches the
-driver, and training is numpy there. Everything else runs on Spark: each whole text is scored where it is read.
+it knows the terms that at least `min_rows` of those rows hold, and whose rows are labelled 1 clearly more or less often
+than others, or that have a pair whose rows are labelled 1 clearly more or less often than all rows and those of either
+term. All pairs are looked at, so two terms that say nothing alone are known too if they do together. Their hashed
+terms are what reaches the driver, and training is numpy there. Everything else runs on Spark: each whole text is scored where it is read.
 
 Defined results: a null or empty text has the score of the intercept. A row with a null doc_id is scored and never
 learned from. Labels that repeat a doc_id count as several rows; null labels are left out. Without any label, or with
@@ -99,12 +100,65 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _positions(terms: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a row's terms are among sorted terms, without those that are not."""
+    at = np.searchsorted(terms, row)
+    at[at == len(terms)] = 0
+    return at[terms[at] == row] if len(terms) else at[:0]
+
+
+def divergence(share: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The Kullback-Leibler divergence of shares from other shares; other shares are neither 0 nor 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ones = np.where(share > 0, share * np.log(share / other), 0.0)
+        return ones + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - other)), 0.0)
+
+
+def telling_pairs(flat: np.ndarray, edges: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which terms have a pair whose rows are labelled 1 clearly more, or less, often than all rows and those of either.
+
+    Rows are laid end to end, each with its terms in order. By Chernoff's bound, n rows whose share is d nats off have a chance below exp(-n d); a pair
+    is clear if so little is to be expected of none of all pairs.
+    """
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    owner = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+    counts, toxic = np.bincount(flat, minlength=n_terms), np.bincount(flat, labels[owner], n_terms)
+    own = (toxic + 0.5) / (counts + 1)
+    least = np.log(max(2.0, n_terms * (n_terms - 1) / 2))
+    few_toxic, few_rows = least / -np.log(share), least / -np.log(1 - share)  # with less of both no pair is clear
+    able = np.flatnonzero((toxic >= few_toxic) | (counts >= few_rows))
+    place = np.full(n_terms, -1, np.int32)
+    place[able] = np.arange(len(able))
+    flat = place[flat]
+    owner, flat = owner[flat >= 0], flat[flat >= 0]
+    highest, lowest = np.maximum(own, share)[able], np.minimum(own, share)[able]
+    ends = np.cumsum(np.bincount(owner, minlength=len(edges) - 1)).astype(np.int32)[owner]
+    by_term = np.argsort(flat, kind="stable").astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(able)))])
+    told, none = np.zeros(n_terms, bool), flat[:0]
+    for a in range(len(able)):
+        at = by_term[starts[a] : starts[a + 1]]
+        ones = labels[owner[at]] > 0  # terms are in order in each row, so what follows are the pairs not yet seen
+        k, n = (
+            np.bincount(np.concatenate([none, *[flat[i + 1 : j] for i, j in zip(x, ends[x])]]) - a, minlength=len(able) - a)
+            for x in (at[ones], at[~ones])
+        )
+        n += k
+        b = np.flatnonzero((k >= few_toxic) | (n >= few_rows))
+        k, n, b = k[b], n[b], b + a
+        part, high, low = k / n, np.maximum(highest[a], highest[b]), np.minimum(lowest[a], lowest[b])
+        clear = (part > high) & (n * divergence(part, high) > least) | (part < low) & (n * divergence(part, low) > least)
+        told[able[b[clear]]] = True
+        told[able[a]] |= clear.any()
+    return told
+
+
 def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 1) -> Machine:
     """Fits a machine to rows of hashed terms by adaptive gradient steps over small batches."""
     labels = labels.astype(float)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
-    rows = [np.asarray(r, np.uint32) for r in rows]
+    rows = [np.sort(np.asarray(r, np.uint32)) for r in rows]
     nothing = [np.zeros(0, np.uint32)]
     terms, counts = np.unique(np.concatenate(rows + nothing), return_counts=True)
     found, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y] + nothing), return_counts=True)
@@ -112,17 +166,19 @@ def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS
     toxic[np.searchsorted(terms, found)] = times
     # Thousands of neutral terms in a long text would add up to noise: only terms that say something are kept.
     errors = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share))
-    terms = terms[(counts >= min_rows) & (errors >= LEAST_ERRORS)]
+    often = np.flatnonzero(counts >= min_rows)
+    telling = errors[often] >= LEAST_ERRORS
+    if 0 < labels.sum() < len(labels):
+        known = [_positions(terms[often], row).astype(np.int32) for row in rows]
+        edges = np.concatenate([[0], np.cumsum([len(k) for k in known])])
+        telling |= telling_pairs(np.concatenate(known), edges, labels, len(often))
+    terms = terms[often[telling]]
     generator = np.random.default_rng(seed)
     machine = Machine(terms, bias, np.zeros(len(terms)), generator.normal(0, 0.01, (len(terms), factors)))
     if not 0 < labels.sum() < len(labels):
         machine.vectors[:] = 0
         return machine
-    known = []
-    for row in rows:
-        at = np.searchsorted(terms, row)
-        at[at == len(terms)] = 0
-        known.append(at[terms[at] == row] if len(terms) else at[:0])
+    known = [_positions(terms, row) for row in rows]
     weight_sq, vector_sq, bias_sq = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     rate, decay, batch = 0.1, 1e-5, 128
     for _ in range(epochs):

@@ -542,6 +542,24 @@ def test_machine_learns_pairs():
     assert machine.vectors[a] @ machine.vectors[b] > 1
 
 
+def test_pairs_of_terms_neutral_alone(spark):
+    generator = random.Random(3)
+    rows = []
+    for k in range(10_000):  # a and b alone are as often toxic as all rows
+        held = {f"n{generator.randrange(300)}" for _ in range(40)}
+        held |= {"a", "b"} if k < 75 else {"a"} if k < 2500 else {"b"} if k < 4925 else {"slur"} if k < 5150 else set()
+        rows.append((sorted(toxicity.hashed_terms(w)[0] for w in held), int(k < 75 or 4925 <= k < 5150)))
+    generator.shuffle(rows)
+    machine = toxicity.train([r for r, _ in rows[2000:]], np.array([y for _, y in rows[2000:]]))
+    known = {int(t): i for i, t in enumerate(machine.terms)}
+    a, b = (toxicity.hashed_terms(w)[0] for w in "ab")
+    for row, y in rows[:2000]:
+        at = np.array([known[t] for t in row if t in known], int)
+        score = toxicity.logistic(machine.raw(at, np.array([0, len(at)]))[0])[0]
+        if a in row or b in row:
+            assert (score >= 0.5) == bool(y)
+
+
 def test_scores_of_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, None if i % 5 == 4 else i % 3 % 2) for i in range(20)] * 2 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     machine = toxicity.fit(docs, labels)
