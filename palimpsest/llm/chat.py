@@ -7,7 +7,9 @@ one with the smallest id stays; both are anti-joins against hashes. What remains
 The rolling hash is a running exclusive-or of two 64-bit hashes of (turn, role, text), so it can be put together from
 blocks: a window spans 256 turns, blocks of those, and blocks of blocks, each joined with the block above. A
 conversation that holds a third of all rows is spread like many small ones. Its text is given in parts of 64 turns,
-in order; nearly all conversations have one part.
+in order; nearly all conversations have one part. Turns are no bound on rows: if 64 turns hold more than `PART_ROWS`
+rows, these are numbered in order over ranges of them and make several parts, and the later parts of that conversation
+have higher numbers by as many.
 
 All of it is DataFrame functions.
 
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import stage
+from palimpsest.llm.common import partitions, stage
 
 LEVEL_BITS, LEVELS = 8, 3
 PART_BITS = 6
+#: The most rows in a part.
+PART_ROWS = 4_096
 LAST = (1 << 63) - 1
 TEMPLATE = ("<|{role}|>\n", "\n<|end|>\n")
 DEFAULT_ROLE = "user"
@@ -88,14 +92,39 @@ def rendered(role: Column, text: Column, template: tuple[str, str] = TEMPLATE) -
     return F.concat(F.lit(before), F.coalesce(role, F.lit(DEFAULT_ROLE)), F.lit(after), F.coalesce(text, F.lit("")), F.lit(template[1]))
 
 
-def format_chats(rows: DataFrame, template: tuple[str, str] = TEMPLATE) -> DataFrame:
+def parted(turns: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Turns with `part`, which orders them within their conversation and holds at most so many rows."""
+    group = ["_key", "part"]
+    turns = turns.withColumn("part", F.shiftright("_at", PART_BITS))
+    counts = turns.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    large = stage(counts.where(F.col("_n") > part_rows), "large")
+    if large.isEmpty():
+        return turns
+    order = [F.col(c).asc_nulls_first() for c in ("_at", "role", "text")]
+    ranges = turns.join(large.select(*group), group).repartitionByRange(partitions(turns.sparkSession), "_key", *order)
+    ranges = stage(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    found = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    before = found.select(*group, "_range", (upto - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)) - 1
+    number = F.floor((F.col("_before") + inside) / F.lit(part_rows)).cast("long")
+    cut = ranges.join(before, [*group, "_range"]).withColumn("_piece", number).select(*turns.columns, "_piece")
+    rest = turns.join(large.select(*group), group, "left_anti").select(*turns.columns, F.lit(0).cast("long").alias("_piece"))
+    more = F.ceil(F.col("_n") / F.lit(part_rows)) - 1
+    earlier = F.sum(more).over(Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.join(large.select("_key").distinct(), "_key", "left_semi").select(*group, earlier.alias("_shift"))
+    whole = cut.union(rest).join(shifts, group, "left")
+    return whole.withColumn("part", F.col("part") + F.coalesce("_shift", F.lit(0)) + F.col("_piece")).drop("_shift", "_piece")
+
+
+def format_chats(rows: DataFrame, template: tuple[str, str] = TEMPLATE, part_rows: int = PART_ROWS) -> DataFrame:
     """conv_id, part, n_turns, text of the maximal conversations; parts in order make up a conversation's text."""
     turns = _turns(rows)
     kept = maximal(stage(prefix_hashes(turns), "prefixes"))
     entry = F.struct(F.col("_at"), F.col("role"), F.col("text"))
     return (
-        turns.join(stage(kept, "maximal"), "_key")
-        .groupBy("_key", "conv_id", F.shiftright("_at", PART_BITS).alias("part"))
+        parted(turns.join(stage(kept, "maximal"), "_key"), part_rows)
+        .groupBy("_key", "conv_id", "part")
         .agg(F.sort_array(F.collect_list(entry)).alias("_turns"))
         .select(
             "conv_id",

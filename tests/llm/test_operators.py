@@ -77,6 +77,20 @@ def test_long_conversation_in_parts(spark):
     assert "".join(r.text for r in found if r.conv_id == 1) == "".join(f"<|user|>\nt{t}\n<|end|>\n" for t in range(1000))
 
 
+def test_many_rows_at_few_turns_in_parts(spark):
+    rows = [(None, k % 3, ("user", None)[k % 2], f"t{k:04}") for k in range(500)] + [(None, 70, "user", "later"), (None, 700, "user", None)]
+    rows += [(None, None, "user", f"z{k:04}") for k in range(95)]
+    rows += [(4, 0, "user", f"u{k:04}") for k in range(40)] + [(5, 0, "user", "short"), (5, 64, "user", "short")]
+    found = chat.format_chats(chats(spark, [(*r, 9) for r in rows]).repartition(5), part_rows=40).collect()
+    assert max(r.n_turns for r in found) == 40 and len({(r.conv_id, r.part) for r in found}) == len(found)
+    for conv in (None, 4, 5):
+        own = [r[1:] for r in rows if r[0] == conv]
+        own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[2] is not None, r[2] or ""))
+        whole = "".join(r.text for r in sorted((r for r in found if r.conv_id == conv), key=lambda r: r.part))
+        assert whole == "".join(f"<|{role or 'user'}|>\n{text or ''}\n<|end|>\n" for _, role, text in own)
+    assert [r.part for r in sorted((r for r in found if r.conv_id == 5), key=lambda r: r.part)] == [0, 1]
+
+
 def test_no_conversations(spark):
     assert chat.format_chats(chats(spark, [])).count() == 0
 
