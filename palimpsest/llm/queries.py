@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
+from palimpsest.llm import chat, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, quality_rules, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,44 @@ def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judged(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _sql_list(words: tuple[str, ...]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+SQL["op11_quality_rules"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT row, pos, words[pos] AS a, words[pos + 1] AS b, words[pos + 2] AS c
+  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS pos FROM texts)),
+again AS (SELECT row, pos, count(*) OVER (PARTITION BY row, a, b, c) AS times FROM windows),
+covered AS (
+  SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest([pos, pos + 1, pos + 2]) AS place FROM again WHERE times > 1)
+  GROUP BY row),
+counted AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(words, lambda w: trim(lower(w), '.,;:!?"''()[]') IN ({_sql_list(quality_rules.STOP_WORDS)}))) AS BIGINT) AS n_stop_words,
+         CAST(len(list_filter(words, lambda w: w = upper(w) AND w <> lower(w))) AS BIGINT) AS n_upper_words,
+         coalesce(n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*+•‣]'))) AS BIGINT) AS n_bullet_lines,
+         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines
+  FROM texts LEFT JOIN covered USING (row)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {quality_rules.rules_sql()} AS kept
+FROM based"""
