@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, quality_rules, toxicity
+from palimpsest.llm import chat, dart_minhash, hard_negatives, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, quality_rules, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,31 @@ based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {quality_rules.rules_sql()} AS kept
 FROM based"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = r"""
+WITH usable AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.ints, b.ints) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.row <> b.row AND len(a.ints) = len(b.ints) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT row, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE same QUALIFY place <= 5),
+ranked AS (
+  SELECT s.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY s.row, place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM scored s JOIN positives p ON s.row = p.row
+  WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""
