@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, hard_negatives, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, quality_rules, toxicity
+from palimpsest.llm import chat, dart_minhash, hard_negatives, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, quality_rules, token_alignment, toxicity
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,10 @@ ranked AS (
   FROM scored s JOIN positives p ON s.row = p.row
   WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = [tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return token_alignment.with_counts(token_alignment.aligned(docs, *models)).drop("groups")
