@@ -25,6 +25,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -48,7 +49,7 @@ LONGEST_KEPT = 64
 def byte_letters() -> dict[str, int]:
     """The byte of each letter of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(printable)]
+    others = sorted(set(range(256)) - set(printable))
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
@@ -80,19 +81,30 @@ class Aligner:
         self.bytes_b = Vocabulary(
             {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces.items()}
         )
+        self.sizes_a, self.sizes_b = self.bytes_a.sizes.tolist(), self.bytes_b.sizes.tolist()
+        self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
         self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
         """The groups of a window as text, and its links as pairs of 32-bit ids."""
-        a, b = (np.frombuffer(side, "<u4") for side in key)
-        ends_a, ends_b = self.bytes_a.sizes[a].cumsum(), self.bytes_b.sizes[b].cumsum()
-        shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, low_a, low_b = [], 0, 0
-        for high_a, high_b in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(names_a[low_a:high_a]) + "|" + ",".join(names_b[low_b:high_b]))
-            low_a, low_b = high_a, high_b
-        found = ";".join(groups), np.stack([a[at_a], b[at_b]], 1).astype("<u4").tobytes()
+        a, b = (memoryview(side).cast("I").tolist() for side in key)
+        sizes_a, sizes_b, names = self.sizes_a, self.sizes_b, self.names
+        groups, links = [], []
+        at_a = at_b = low_a = low_b = end_a = end_b = 0
+        while at_a < len(a):  # both sides have the same bytes, so they end together
+            end_a, end_b = end_a + sizes_a[a[at_a]], end_b + sizes_b[b[at_b]]
+            while end_a != end_b:
+                if end_a < end_b:
+                    at_a += 1
+                    end_a += sizes_a[a[at_a]]
+                else:
+                    at_b += 1
+                    end_b += sizes_b[b[at_b]]
+            links += a[at_a], b[at_b]
+            at_a, at_b = at_a + 1, at_b + 1
+            groups.append(",".join([names[i] for i in a[low_a:at_a]]) + "|" + ",".join([names[i] for i in b[low_b:at_b]]))
+            low_a, low_b = at_a, at_b
+        found = ";".join(groups), struct.pack(f"<{len(links)}I", *links)
         if len(a) + len(b) <= LONGEST_KEPT:
             if len(self.windows) >= KEPT_WINDOWS:
                 self.windows.clear()

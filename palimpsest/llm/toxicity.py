@@ -9,26 +9,31 @@ a sum of weights misses.
 The labelled rows to learn from are at most `most_rows`, chosen by hash, so the model is bounded at any input size:
 it knows the terms that at least `min_rows` of those rows hold, and whose rows are labelled 1 clearly more or less often
 than others, or that have a pair whose rows are labelled 1 clearly more or less often than all rows and those of either
-term. All pairs are looked at, so two terms that say nothing alone are known too if they do together. Their hashed
-terms are what reaches the driver, and training is numpy there. Everything else runs on Spark: each whole text is scored where it is read.
+term. All pairs are looked at, so two terms that say nothing alone are known too if they do together. Terms are counted in
+tasks, and pairs of blocks of terms are compared in tasks, by the rows that hold each term. What reaches the driver are
+the known terms and each row's positions among them; training is numpy there. Each whole text is scored where it is read.
 
 Defined results: a null or empty text has the score of the intercept. A row with a null doc_id is scored and never
-learned from. Labels that repeat a doc_id count as several rows; null labels are left out. Without any label, or with
+learned from. Labels or documents that repeat a doc_id count as several rows; null labels are left out. A very long text is
+held by one task alone and has a row of its own in what is kept for the tasks; the driver never sees it. Without any label, or with
 one kind only, the score is the smoothed share of label 1 (one half without labels). Only the text is an input.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import hashed_sample
+from palimpsest.llm.common import hashed_sample, stage, tiled
+from palimpsest.llm.packing import by_size
 
 MOST_ROWS = 20_000
 MIN_ROWS = 5
@@ -40,6 +45,8 @@ EPOCHS = 20
 STEMS = (4, 5)
 MARKS = ".,;:!?\"'()[]{}<>*_`~-…«»„“”‚‘’¡¿"
 KEPT_WORDS = 400_000
+#: Terms whose pairs are looked at in one task, and bytes of rows' terms that a worker turns at a time.
+BLOCK, HELD_BYTES = 512, 8_000_000
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -114,81 +121,102 @@ def divergence(share: np.ndarray, other: np.ndarray) -> np.ndarray:
         return ones + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - other)), 0.0)
 
 
-def telling_pairs(flat: np.ndarray, edges: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
-    """Which terms have a pair whose rows are labelled 1 clearly more, or less, often than all rows and those of either.
+@dataclass(frozen=True)
+class Clearness:
+    """When a term or a pair of terms is clearly more, or less, often labelled 1 than other rows.
 
-    Rows are laid end to end, each with its terms in order. By Chernoff's bound, n rows whose share is d nats off have a chance below exp(-n d); a pair
-    is clear if so little is to be expected of none of all pairs.
+    A term is so many standard errors off. By Chernoff's bound, n rows whose share is d nats off have a chance below
+    exp(-n d); a pair is clear if so little is to be expected of none of all pairs.
     """
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
-    owner = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
-    counts, toxic = np.bincount(flat, minlength=n_terms), np.bincount(flat, labels[owner], n_terms)
-    own = (toxic + 0.5) / (counts + 1)
-    least = np.log(max(2.0, n_terms * (n_terms - 1) / 2))
-    few_toxic, few_rows = least / -np.log(share), least / -np.log(1 - share)  # with less of both no pair is clear
-    able = np.flatnonzero((toxic >= few_toxic) | (counts >= few_rows))
-    place = np.full(n_terms, -1, np.int32)
-    place[able] = np.arange(len(able))
-    flat = place[flat]
-    owner, flat = owner[flat >= 0], flat[flat >= 0]
-    highest, lowest = np.maximum(own, share)[able], np.minimum(own, share)[able]
-    ends = np.cumsum(np.bincount(owner, minlength=len(edges) - 1)).astype(np.int32)[owner]
-    by_term = np.argsort(flat, kind="stable").astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(able)))])
-    told, none = np.zeros(n_terms, bool), flat[:0]
-    for a in range(len(able)):
-        at = by_term[starts[a] : starts[a + 1]]
-        ones = labels[owner[at]] > 0  # terms are in order in each row, so what follows are the pairs not yet seen
-        k, n = (
-            np.bincount(np.concatenate([none, *[flat[i + 1 : j] for i, j in zip(x, ends[x])]]) - a, minlength=len(able) - a)
-            for x in (at[ones], at[~ones])
-        )
-        n += k
-        b = np.flatnonzero((k >= few_toxic) | (n >= few_rows))
-        k, n, b = k[b], n[b], b + a
-        part, high, low = k / n, np.maximum(highest[a], highest[b]), np.minimum(lowest[a], lowest[b])
-        clear = (part > high) & (n * divergence(part, high) > least) | (part < low) & (n * divergence(part, low) > least)
-        told[able[b[clear]]] = True
-        told[able[a]] |= clear.any()
-    return told
-
-
-def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 1) -> Machine:
-    """Fits a machine to rows of hashed terms by adaptive gradient steps over small batches."""
+
+    share: float
+    least: float
+
+    @staticmethod
+    def of(rows: int, ones: int, terms: int) -> Clearness:
+        return Clearness((ones + 0.5) / (rows + 1), math.log(max(2.0, terms * (terms - 1) / 2)))
+
+    def telling(self, counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        return np.abs(toxic - counts * self.share) / np.sqrt(counts * self.share * (1 - self.share)) >= LEAST_ERRORS
+
+    def able(self) -> tuple[float, float]:
+        """With fewer rows labelled 1 than the first, and fewer rows than the second, no pair is clear."""
+        return self.least / -math.log(self.share), self.least / -math.log(1 - self.share)
+
+    def clear(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """a, b: (counts, toxic) of two runs of terms; n, k: the same of each pair of them."""
+        own = [(toxic + 0.5) / (counts + 1) for counts, toxic in (a, b)]
+        high = np.maximum(np.maximum(own[0], self.share)[:, None], np.maximum(own[1], self.share)[None, :])
+        low = np.minimum(np.minimum(own[0], self.share)[:, None], np.minimum(own[1], self.share)[None, :])
+        part = k / np.maximum(n, 1)
+        found = (part > high) & (n * divergence(part, high) > self.least)
+        return found | (part < low) & (n * divergence(part, low) > self.least) & (n > 0)
+
+
+def _held(rows: list[np.ndarray], n_rows: int) -> np.ndarray:
+    """A line for each term, with 1 at the rows that hold it."""
+    held = np.zeros((len(rows), n_rows), np.float32)
+    for line, at in zip(held, rows):
+        line[at] = 1
+    return held
+
+
+def telling_pairs(a: list[np.ndarray], b: list[np.ndarray], labels: np.ndarray, rule: Clearness) -> np.ndarray:
+    """For each two of the terms a and b, given by the rows that hold them, whether the pair is clear."""
+    held = _held(a, len(labels)), _held(b, len(labels))
+    ones = np.flatnonzero(labels)
+    toxic = held[0][:, ones], held[1][:, ones]
+    sums = [(h.sum(1, dtype=float), t.sum(1, dtype=float)) for h, t in zip(held, toxic)]
+    return rule.clear(*sums, (held[0] @ held[1].T).astype(float), (toxic[0] @ toxic[1].T).astype(float))
+
+
+def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS, **settings) -> Machine:
+    """Fits a machine to a few rows of hashed terms, all in one process."""
     labels = labels.astype(float)
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
-    bias = float(np.log(share / (1 - share)))
     rows = [np.sort(np.asarray(r, np.uint32)) for r in rows]
-    nothing = [np.zeros(0, np.uint32)]
-    terms, counts = np.unique(np.concatenate(rows + nothing), return_counts=True)
-    found, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y] + nothing), return_counts=True)
-    toxic = np.zeros(len(terms))
-    toxic[np.searchsorted(terms, found)] = times
-    # Thousands of neutral terms in a long text would add up to noise: only terms that say something are kept.
-    errors = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share))
-    often = np.flatnonzero(counts >= min_rows)
-    telling = errors[often] >= LEAST_ERRORS
+    terms, counts = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_counts=True)
+    terms = terms[counts >= min_rows]
+    known = [_positions(terms, row) for row in rows]
+    holders = [[] for _ in terms]
+    for i, row in enumerate(known):
+        for at in row:
+            holders[at].append(i)
+    rule = Clearness.of(len(rows), int(labels.sum()), len(terms))
+    toxic = np.array([labels[h].sum() for h in holders])
+    kept = rule.telling(np.array([len(h) for h in holders], float), toxic)
     if 0 < labels.sum() < len(labels):
-        known = [_positions(terms[often], row).astype(np.int32) for row in rows]
-        edges = np.concatenate([[0], np.cumsum([len(k) for k in known])])
-        telling |= telling_pairs(np.concatenate(known), edges, labels, len(often))
-    terms = terms[often[telling]]
+        for low in range(0, len(terms), BLOCK):
+            for other in range(0, low + 1, BLOCK):
+                found = telling_pairs(holders[low : low + BLOCK], holders[other : other + BLOCK], labels, rule)
+                if low == other:
+                    np.fill_diagonal(found, False)
+                kept[low : low + BLOCK] |= found.any(1)
+                kept[other : other + BLOCK] |= found.any(0)
+    known = [_positions(terms[kept], row) for row in rows]
+    edges = np.cumsum([0, *map(len, known)])
+    return descend(terms[kept], np.concatenate([*known, np.zeros(0, np.int64)]), edges, labels, **settings)
+
+
+def descend(
+    terms: np.ndarray, flat: np.ndarray, edges: np.ndarray, labels: np.ndarray, *, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 1
+) -> Machine:
+    """Adaptive gradient steps over small batches of rows, which are laid end to end as positions among the terms."""
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
     generator = np.random.default_rng(seed)
-    machine = Machine(terms, bias, np.zeros(len(terms)), generator.normal(0, 0.01, (len(terms), factors)))
+    vectors = generator.normal(0, 0.01, (len(terms), factors))
+    machine = Machine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), vectors)
     if not 0 < labels.sum() < len(labels):
         machine.vectors[:] = 0
         return machine
-    known = [_positions(terms, row) for row in rows]
     weight_sq, vector_sq, bias_sq = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     rate, decay, batch = 0.1, 1e-5, 128
     for _ in range(epochs):
-        order = generator.permutation(len(known))
+        order = generator.permutation(len(labels))
         for low in range(0, len(order), batch):
             chosen = order[low : low + batch]
-            at = np.concatenate([known[i] for i in chosen])
-            lengths = np.array([len(known[i]) for i in chosen])
-            edges = np.concatenate([[0], np.cumsum(lengths)])
-            raw, sums = machine.raw(at, edges)
+            at = np.concatenate([flat[edges[i] : edges[i + 1]] for i in chosen])
+            lengths = edges[chosen + 1] - edges[chosen]
+            raw, sums = machine.raw(at, np.concatenate([[0], np.cumsum(lengths)]))
             error = logistic(raw) - labels[chosen]
             owner = np.repeat(np.arange(len(chosen)), lengths)
             distinct, back = np.unique(at, return_inverse=True)
@@ -208,24 +236,116 @@ def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: int = 5, **settings) -> Machine:
-    """Learns from labelled rows outside the held-out fold; at most `most_rows` of them, the first by hash."""
+def _learnable(docs: DataFrame, labels: DataFrame, most_rows: int, folds: int) -> DataFrame:
+    """(row, toxic, place, terms) of the labelled texts outside the held-out fold; place orders rows by their terms."""
     learnable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     chosen = hashed_sample(learnable.select("doc_id", F.col("toxic").cast("int").alias("_toxic")), most_rows, "doc_id", "_toxic")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms, row = Terms(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1)):  # one at a time: texts may be very long
+                found = np.array(terms.of(text.as_py() or ""), np.uint32).tobytes()
+                columns = [pa.array([row]), pa.array([toxic.as_py()], pa.int32()), pa.array([found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "toxic", "terms"])
+                row += 1
+
+    # Kept first, so that Spark knows how small this side is and does not shuffle the texts.
+    rows = docs.select("doc_id", "text").join(stage(chosen, "toxicity-labels"), "doc_id").select("text", "_toxic")
+    rows = rows.mapInArrow(hashed, "row long, toxic int, terms binary").withColumn("place", F.xxhash64("terms", "toxic"))
+    return stage(rows.select("row", "toxic", "place", "terms"), "toxicity-rows")
+
+
+def _holders(rows: DataFrame, numbers: Broadcast) -> DataFrame:
+    """(term, rows): for some of the terms' rows at a time, their numbers; rows without a number are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, order = numbers.value
+        for batch in batches:
+            for part in by_size(batch, HELD_BYTES):
+                at = np.searchsorted(known, part.column(0).to_numpy())
+                blobs = part.column(1).to_pylist()
+                owner = np.repeat(order[np.minimum(at, len(known) - 1)], [len(b) // 4 for b in blobs])
+                terms = np.frombuffer(b"".join(blobs), np.uint32)
+                by_term = np.argsort(terms, kind="stable")
+                distinct, starts = np.unique(terms[by_term], return_index=True)
+                owners = owner[by_term].astype("<i4").tobytes()
+                edges = pa.array(np.append(starts, len(terms)) * 4, pa.int32())
+                lists = pa.BinaryArray.from_buffers(pa.binary(), len(distinct), [None, edges.buffers()[1], pa.py_buffer(owners)])
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), lists], names=["term", "rows"])
+
+    return rows.select("row", "terms").mapInArrow(run, "term long, rows binary")
+
+
+def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_rows: int) -> np.ndarray:
+    """The sorted terms that say something, alone or in a pair; counted and compared in tasks."""
+    spark = rows.sparkSession
+    order = np.argsort(numbers)
+    shared = spark.sparkContext.broadcast((numbers[order], order))
+    marks = spark.sparkContext.broadcast(labels)
+    holders = stage(_holders(rows, shared), "toxicity-terms")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+            sums = [pa.array([f(x) for x in lists], pa.int64()) for f in (len, lambda x: int(marks.value[x].sum()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], names=["term", "n", "k"])
+
+    often = holders.mapInArrow(counted, "term long, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    often = stage(often.where(F.col("n") >= min_rows), "toxicity-often")
+    rule = Clearness.of(len(labels), int(labels.sum()), often.count())
+    off = F.abs(F.col("k") - F.col("n") * rule.share) / F.sqrt(F.col("n") * (rule.share * (1 - rule.share)))
+    told = often.where(off >= LEAST_ERRORS).select("term")
+    if 0 < labels.sum() < len(labels):
+        few_toxic, few_rows = rule.able()
+        able = stage(often.where((F.col("k") >= few_toxic) | (F.col("n") >= few_rows)).select("term"), "toxicity-able")
+        # Of each term at most the numbers of all rows learned from, which are bounded.
+        whole = holders.join(able, "term").groupBy("term").agg(F.collect_list("rows").alias("rows"))
+        tiles = tiled(stage(whole.select(F.lit(0).alias("all"), F.col("term").alias("node"), "rows"), "toxicity-able"), "all", BLOCK)
+
+        def compared(table: pa.Table) -> pa.Table:
+            own = table.column("own").to_numpy()
+            lists = [np.concatenate([np.frombuffer(x, "<i4") for x in parts]) for parts in table.column("rows").to_pylist()]
+            terms = table.column("node").to_numpy()
+            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            found = telling_pairs([lists[i] for i in a], [lists[i] for i in b], marks.value, rule)
+            if low == high:
+                np.fill_diagonal(found, False)
+            return pa.table({"term": np.concatenate([terms[a[found.any(1)]], terms[b[found.any(0)]]])})
+
+        told = told.union(tiles.groupBy("low", "high").applyInArrow(compared, "term long"))
+    return np.sort(told.distinct().toArrow().column(0).to_numpy()).astype(np.uint32)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: int = 5, *, min_rows: int = MIN_ROWS, **settings
+) -> Machine:
+    """Learns from labelled rows outside the held-out fold; at most `most_rows` of them, the first by hash."""
+    rows = _learnable(docs, labels, most_rows, folds)
+    chosen = rows.select("place", "toxic", "row").orderBy("place", "toxic", "row").limit(most_rows).toArrow()
+    numbers, marks = chosen.column("row").to_numpy(), chosen.column("toxic").to_numpy().astype(float)
+    if not len(numbers):
+        return descend(np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(1, np.int64), marks, **settings)
+    if most_rows < rows.count():  # labels or documents that repeat an id
+        rows = rows.join(rows.sparkSession.createDataFrame([(int(n),) for n in numbers], "row long"), "row", "left_semi")
+    terms = _kept_terms(rows, numbers, marks, min_rows)
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(terms.of(t or ""), np.uint32).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["toxic", "terms"])
-
-    rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "_toxic").mapInArrow(hashed, "toxic int, terms binary").toArrow()
-    )
-    found = [np.frombuffer(x, np.uint32) for x in rows.column("terms").to_pylist()]
-    order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes()))  # the same on each run
-    marks = rows.column("toxic").to_numpy()
-    return train([found[i] for i in order], marks[order] if len(order) else np.zeros(0), **settings)
+            for part in by_size(batch, HELD_BYTES):
+                found = [_positions(shared.value, np.frombuffer(t, np.uint32)).astype("<i4").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["row", "at"])
+
+    found = rows.select("row", "terms").mapInArrow(known, "row long, at binary").toArrow()
+    order = np.argsort(numbers)
+    places = np.empty(len(numbers), np.int64)  # the order of the chosen rows, the same on each run
+    places[order[np.searchsorted(numbers[order], found.column("row").to_numpy())]] = np.arange(len(numbers))
+    at = found.column("at").combine_chunks().take(pa.array(places))
+    lengths = np.array([len(x.as_buffer()) // 4 for x in at], np.int64)
+    flat = np.frombuffer(b"".join(x.as_buffer() for x in at), "<i4")
+    return descend(terms, flat, np.concatenate([[0], np.cumsum(lengths)]), marks, **settings)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
