@@ -135,7 +135,8 @@ def counted(docs: DataFrame) -> DataFrame:
         "n_bullet_lines": line_count(lambda s: _any_of([F.startswith(s["bare"], F.lit(b)) for b in BULLETS])),
         "n_ellipsis_lines": line_count(lambda s: _any_of([F.endswith(s["bare"], F.lit(e)) for e in ELLIPSES])),
     }
-    return placed.select("_row", *[counts[name].cast("long").alias(name) for name in COUNTS])
+    # Generated, so that a filter on a count or a verdict stays above; below, it would repeat the costly columns.
+    return placed.select("_row", F.inline(F.array(F.struct(*[counts[name].cast("long").alias(name) for name in COUNTS]))))
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
