@@ -72,6 +72,10 @@ def bm25(
     return -reduce(lambda a, b: a + b, terms)
 
 
+def _shifted(positions: Column, step: int) -> Column:
+    return F.transform(positions, lambda p: p - step)
+
+
 def _no_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.lit(None).cast("double")).where(F.lit(False))
 
@@ -208,20 +212,9 @@ def search_postings(postings: DataFrame, stats: DataFrame, query: str) -> DataFr
         where = [needed.index(w) for w in phrase]
         if len(where) == 1:
             return F.coalesce(F.col(f"_tf{where[0]}"), F.lit(0))
-        return F.coalesce(
-            F.size(
-                F.filter(
-                    F.col(f"_at{where[0]}"),
-                    lambda p: _all(
-                        [
-                            F.array_contains(F.col(f"_at{w}"), p + step)
-                            for step, w in enumerate(where[1:], start=1)
-                        ]
-                    ),
-                )
-            ),
-            F.lit(0),
-        )
+        # Where each word would have the phrase begin.
+        begins = [_shifted(F.col(f"_at{w}"), step) for step, w in enumerate(where)]
+        return F.coalesce(F.size(reduce(F.array_intersect, begins)), F.lit(0))
 
     counted = by_row.select(
         "row_id", "_length", *[frequency(p).alias(f"_f{i}") for i, p in enumerate(phrases)]
