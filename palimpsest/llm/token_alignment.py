@@ -41,8 +41,8 @@ from palimpsest.llm.packing import TextIds
 MARK = "▁"
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4_000_000
-#: Windows that a worker keeps, and tokens in those that are kept.
-KEPT_WINDOWS = 400_000
+#: Windows that a worker keeps in each of two generations, and tokens in those that are kept.
+KEPT_WINDOWS = 100_000
 LONGEST_KEPT = 64
 
 
@@ -60,9 +60,14 @@ class Vocabulary:
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.sizes = np.array([len(t) for t in self.tokens])
         self.spaced = np.array([t.startswith(b" ") for t in self.tokens])
+        self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.offsets = self.sizes.cumsum() - self.sizes
 
-    def spells(self, ids: list[int], text: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids)) == text
+    def spells(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the bytes of the tokens, laid at their starts, are the text."""
+        if not len(ids) or starts[-1] + sizes[-1] != len(text):
+            return False
+        return np.array_equal(self.letters[np.repeat(self.offsets[ids] - starts, sizes) + np.arange(len(text))], text)
 
 
 class Aligner:
@@ -83,10 +88,20 @@ class Aligner:
         )
         self.sizes_a, self.sizes_b = self.bytes_a.sizes.tolist(), self.bytes_b.sizes.tolist()
         self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
+        # When the newer generation is full it becomes the older, so frequent windows stay.
         self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.older: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
         """The groups of a window as text, and its links as pairs of 32-bit ids."""
+        found = self.older.get(key) or self._aligned(key)
+        if len(key[0]) + len(key[1]) <= 4 * LONGEST_KEPT:
+            if len(self.windows) >= KEPT_WINDOWS:
+                self.older, self.windows = self.windows, {}
+            self.windows[key] = found
+        return found
+
+    def _aligned(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
         a, b = (memoryview(side).cast("I").tolist() for side in key)
         sizes_a, sizes_b, names = self.sizes_a, self.sizes_b, self.names
         groups, links = [], []
@@ -104,24 +119,18 @@ class Aligner:
             at_a, at_b = at_a + 1, at_b + 1
             groups.append(",".join([names[i] for i in a[low_a:at_a]]) + "|" + ",".join([names[i] for i in b[low_b:at_b]]))
             low_a, low_b = at_a, at_b
-        found = ";".join(groups), struct.pack(f"<{len(links)}I", *links)
-        if len(a) + len(b) <= LONGEST_KEPT:
-            if len(self.windows) >= KEPT_WINDOWS:
-                self.windows.clear()
-            self.windows[key] = found
-        return found
+        return ";".join(groups), struct.pack(f"<{len(links)}I", *links)
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[int]] | None:
         """The ids of both, and the places in either where windows begin. None if a side does not spell the text."""
         if not text:
             return None
-        whole = (" " + text).encode()
-        a, listed = self.a.of(" " + text), self.b.encode(text, num_threads=1)
-        if not self.bytes_a.spells(a.tolist(), whole) or not self.bytes_b.spells(listed, whole):
-            return None
-        a, b = a.astype("<u4", copy=False), np.array(listed, "<u4")
+        whole = np.frombuffer((" " + text).encode(), np.uint8)
+        a, b = self.a.of(" " + text).astype("<u4", copy=False), np.array(self.b.encode(text, num_threads=1), "<u4")
         sizes_a, sizes_b = self.bytes_a.sizes[a], self.bytes_b.sizes[b]
         starts_a, starts_b = sizes_a.cumsum() - sizes_a, sizes_b.cumsum() - sizes_b
+        if not self.bytes_a.spells(a, sizes_a, starts_a, whole) or not self.bytes_b.spells(b, sizes_b, starts_b, whole):
+            return None
         spaced_a, spaced_b = np.flatnonzero(self.bytes_a.spaced[a]), np.flatnonzero(self.bytes_b.spaced[b])
         begins = np.zeros(len(whole), bool)
         begins[starts_a[spaced_a]] = True
@@ -162,17 +171,25 @@ def aligner(*models: str | None) -> Aligner:
 _ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, links binary, pairs binary, counts binary"
 
 
-def _chunk_rows(chunk: int, docs: list[tuple], keep_groups: bool) -> pa.RecordBatch:
+def place_type(pairs: int) -> str:
+    """The type of places in a list of so many pairs."""
+    return "<u1" if pairs <= 2**8 else "<u2" if pairs <= 2**16 else "<u4"
+
+
+def _chunk_rows(chunk: int, docs: list[tuple]) -> pa.RecordBatch:
     """The rows of a chunk's documents, and one more with its distinct pairs and their counts."""
-    found = np.frombuffer(b"".join(d[4] for d in docs), "<u8")
-    pairs, places, counts = np.unique(found, return_inverse=True, return_counts=True)
+    import pandas as pd
+
+    places, pairs = pd.factorize(np.frombuffer(b"".join(d[4] for d in docs), "<u8"))
+    counts = np.bincount(places, minlength=len(pairs))
     edges = np.cumsum([0, *(len(d[4]) // 8 for d in docs)])
-    links = [places[low:high].astype("<u4").tobytes() for low, high in zip(edges, edges[1:])]
+    # What follows only sums over a document's links: sorted, and with no more bytes than needed, they are small on disk.
+    places = places.astype(place_type(len(pairs)))
+    links = [np.sort(places[low:high]).tobytes() for low, high in zip(edges, edges[1:])]
     n, none = len(docs), [None]
     columns = [
         [chunk] * (n + 1), [d[0] for d in docs] + none, [d[1] for d in docs] + none, [d[2] for d in docs] + none,
-        [len(x) // 4 for x in links] + none, [hashlib.sha256(d[3].encode()).hexdigest() if d[1] else "" for d in docs] + none,
-        [d[3] if keep_groups else None for d in docs] + none, links + none, [None] * n + [pairs.tobytes()], [None] * n + [counts.astype("<i8").tobytes()],
+        [len(d[4]) // 8 for d in docs] + none, [d[5] for d in docs] + none, [d[3] for d in docs] + none, links + none, [None] * n + [pairs.tobytes()], [None] * n + [counts.astype("<i8").tobytes()],
     ]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.binary()] * 3
     names = [f.split()[0] for f in _ALIGNED.split(", ")]
@@ -188,13 +205,15 @@ def aligned(docs: DataFrame, model_a: str, model_b: str, ranks_a: str | None = N
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                held.append((doc, *align(text)))
+                n_a, n_b, groups, links = align(text)
+                digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
+                held.append((doc, n_a, n_b, groups if keep_groups else None, links, digest))
                 size += len(text) + 100  # documents without text take room as well
                 if size >= chunk_bytes:
-                    yield _chunk_rows(chunk, held, keep_groups)
+                    yield _chunk_rows(chunk, held)
                     chunk, held, size = chunk + 1, [], 0
         if held:
-            yield _chunk_rows(chunk, held, keep_groups)
+            yield _chunk_rows(chunk, held)
 
     return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ALIGNED), "aligned")
 
@@ -229,7 +248,7 @@ def with_counts(rows: DataFrame) -> DataFrame:
         at = known_.column("place").to_numpy()
         count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         count[at], best[at] = known_.column("count").to_numpy(), known_.column("best").to_numpy()
-        links = [np.frombuffer(x, "<u4") for x in docs_.column("links").to_pylist()]
+        links = [np.frombuffer(x, place_type(len(at))) for x in docs_.column("links").to_pylist()]
         sums = {
             "n_links": np.array([len(x) for x in links], np.int64),
             "n_best": np.array([best[x].sum() for x in links], np.int64),
