@@ -15,6 +15,7 @@ from palimpsest.functions.requests import resolve_agent, wants_semantic
 from palimpsest.functions.text import deep_link, head, summary_sentence
 from palimpsest.operators import fts, lines, vector
 from palimpsest.operators.filters import in_period, same_name, with_session
+from palimpsest.operators.segments import StoredIndex
 
 NOTE_TEXTS = ["content", "metadata", "source", "agent"]
 
@@ -46,6 +47,7 @@ class Library:
     notes: DataFrame
     note_vectors: DataFrame
     files: DataFrame
+    message_index: StoredIndex | None = None
 
 
 def keyword_messages(
@@ -75,22 +77,37 @@ def keyword_messages(
     return located.orderBy("score", "id").limit(limit)
 
 
-def keyword_messages_indexed(
-    postings: DataFrame,
-    stats: DataFrame,
+def stored_page(
+    index: StoredIndex,
     messages: DataFrame,
     sessions: DataFrame,
     query: str,
     limit: int = 20,
     agent: str | None = None,
+    channel: str | None = None,
+    days: float | None = None,
+    now=None,
+    date_from=None,
+    date_to=None,
 ) -> DataFrame:
-    """The same from a stored index; content is read for the page only."""
-    hits = fts.search_postings(postings, stats, query)
-    keyed = hits.join(messages.select(F.col("id").alias("row_id"), "session_id"), "row_id")
-    located = with_session(keyed.withColumnRenamed("row_id", "id"), sessions, "agent_id", "channel")
+    """id, session_id, timestamp, agent_id, channel and score of the best messages, from a stored index.
+
+    No text is read: postings of the query's terms give the scores, and messages their times and sessions.
+    """
+    hits = index.search(query).withColumnRenamed("row_id", "id")
+    keyed = hits.join(messages.select("id", "session_id", "timestamp"), "id")
+    keyed = in_period(keyed, "timestamp", days, now, date_from, date_to)
+    located = with_session(keyed, sessions, "agent_id", "channel").drop("message_count")
     if agent:
         located = located.where(same_name(F.col("agent_id"), agent))
-    page = located.orderBy("score", "id").limit(limit).drop("session_id", "message_count")
+    if channel:
+        located = located.where(F.col("channel") == channel)
+    return located.orderBy("score", "id").limit(limit)
+
+
+def keyword_messages_indexed(index: StoredIndex, messages: DataFrame, sessions: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
+    """keyword_messages() from a stored index; content is read for the page only."""
+    page = stored_page(index, messages, sessions, query, limit, **filters).select("id", "agent_id", "channel", "score")
     return messages.join(page, "id").orderBy("score", "id")
 
 
@@ -157,10 +174,12 @@ def unified_search(
 
     if not request.files_only:
         shown = ["agent_id", "channel", "role", "content", "timestamp", "score", "session_id", "id"]
-        found = keyword_messages(
-            library.messages, library.sessions, request.query, request.limit, agent,
-            request.channel, **period,
-        ).select(*shown)
+        tables, filters = (library.messages, library.sessions), dict(agent=agent, channel=request.channel, **period)
+        if library.message_index is None:
+            found = keyword_messages(*tables, request.query, request.limit, **filters)
+        else:
+            found = keyword_messages_indexed(library.message_index, *tables, request.query, request.limit, **filters)
+        found = found.select(*shown)
         best_first = F.asc("score")
         if semantic:
             near = vector.search_messages(

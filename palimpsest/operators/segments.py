@@ -145,7 +145,7 @@ class StoredIndex:
     def delete(self, ids: DataFrame) -> StoredIndex:
         """The next version, without the rows of the ids, the one column of the frame."""
         dead = self._entomb(ids.toDF("row_id").select(F.col("row_id").cast("long")), self.version + 1)
-        return self._commit([*self.segments, dead]) if dead else self
+        return self._commit([*self.segments, dead] if dead else self.segments)
 
     def merge(self, bucket_rows: int = BUCKET_ROWS) -> StoredIndex:
         """The next version: all living postings as one segment, without tombstones."""

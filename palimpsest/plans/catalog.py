@@ -7,6 +7,7 @@ text and vectors as numbers, so results compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from palimpsest.operators import (
     secrets_history,
     vector,
 )
-from palimpsest.plans import derived
+from palimpsest.plans import derived, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,6 +101,40 @@ def kw_phrase_indexed(spark, folder):
     return _scored(found, F.col("row_id").alias("id"))
 
 
+@query
+def kw_indexed_filters(spark, folder):
+    """A page of one agent, channel and period from the stored index; no text is read."""
+    found = search.stored_page(
+        stored.corpus_index(spark, folder), model.corpus(spark, folder), model.corpus_sessions(spark, folder), NOTE_QUERY, 50,
+        agent="SRC0", channel="direct", date_from="2024-01-01 02:00:00", date_to="2024-01-05 12:00:00",
+    )
+    return _scored(found, "id", "session_id", "agent_id", "channel", shown_time("timestamp").alias("at"))
+
+
+@query
+def kw_stored(spark, folder):
+    """The ranking of kw_documents, from the stored index."""
+    return _scored(stored.corpus_index(spark, folder).search(NOTE_QUERY), F.col("row_id").alias("id"))
+
+
+@query
+def kw_index_updates(spark, folder):
+    """The ranking after batches, replaced rows and deletions, from the segments as they are."""
+    return _scored(stored.updated_index(spark, folder).search(NOTE_QUERY), F.col("row_id").alias("id"))
+
+
+@query
+def kw_index_merged(spark, folder):
+    """A phrase from the same index after its segments were merged."""
+    return _scored(stored.merged_index(spark, folder).search(PHRASE_QUERY), F.col("row_id").alias("id"))
+
+
+@query
+def index_stats(spark, folder):
+    """Rows and tokens of the updated index, from its list of segments."""
+    return stored.updated_index(spark, folder).stats()
+
+
 @query
 def kw_thoughts(spark, folder):
     """Notes matching over content, metadata, source and agent."""
@@ -319,6 +354,14 @@ def unified_conversations(spark, folder):
     return arms["conversations"].select("agent", "role", "content", "session_id", "message_id", F.round("score", 3).alias("score"))
 
 
+@query
+def unified_indexed(spark, folder):
+    """The conversations of unified_conversations, ranked by the stored index."""
+    tables = replace(library(spark, folder), message_index=stored.corpus_index(spark, folder))
+    arms = search.unified_search(tables, search.SearchRequest("er tion", limit=20, conversations_only=True))
+    return arms["conversations"].select("agent", "role", "content", "session_id", "message_id", F.round("score", 3).alias("score"))
+
+
 @query
 def unified_summary(spark, folder):
     arms = search.unified_search(library(spark, folder), search.SearchRequest("er tion", limit=20))

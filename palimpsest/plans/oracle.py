@@ -145,6 +145,22 @@ SQL["kw_documents"] = SQL["kw_indexed"] = f"""{with_(CORPUS, DOCUMENT_RANK)}
 SELECT id, round(score, 6) AS score FROM ranked"""
 SQL["kw_phrase"] = SQL["kw_phrase_indexed"] = f"""{with_(CORPUS, PHRASE_RANK)}
 SELECT id, round(score, 6) AS score FROM ranked"""
+SQL["kw_stored"] = SQL["kw_indexed"]
+SQL["kw_indexed_filters"] = f"""{with_(CORPUS, CORPUS_SESSIONS, DOCUMENT_RANK)}
+SELECT r.id, r.session_id, s.agent_id, s.channel, {shown('r.timestamp')} AS at, round(r.score, 6) AS score
+FROM ranked r JOIN corpus_sessions s ON r.session_id = s.id
+WHERE lower(s.agent_id) = 'src0' AND s.channel = 'direct'
+  AND r.timestamp BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-05 12:00:00'
+ORDER BY r.score, r.id LIMIT 50"""
+CHANGED = """
+changed AS (
+  SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN content || ' er tion' ELSE content END AS content) FROM corpus WHERE id % 5 <> 3)"""
+SQL["kw_index_updates"] = f"""{with_(CORPUS, CHANGED, ranked('changed', ['content'], [['tion'], ['er']]))}
+SELECT id, round(score, 6) AS score FROM ranked"""
+SQL["kw_index_merged"] = f"""{with_(CORPUS, CHANGED, ranked('changed', ['content'], [['er', 'th']]))}
+SELECT id, round(score, 6) AS score FROM ranked"""
+SQL["index_stats"] = f"""{with_(CORPUS, CHANGED)}
+SELECT count(*) AS rows, CAST(sum(len({words('content')})) AS BIGINT) AS total_length FROM changed"""
 SQL["kw_thoughts"] = f"""{with_(NOTES, ranked('notes', ['content', 'metadata', 'source', 'agent'], [['er'], ['src3'], ['origin']]))}
 SELECT id, source, agent, round(score, 6) AS score FROM ranked"""
 SQL["kw_thoughts_page"] = f"""{with_(NOTES, ranked('notes', ['content', 'metadata', 'source', 'agent'], [['tion']]))}
@@ -263,6 +279,7 @@ once AS (SELECT *, row_number() OVER (PARTITION BY role || ':' || left(content,
 SQL["unified_conversations"] = f"""{UNIFIED}
 SELECT agent_id AS agent, role, left(content, 500) AS content, session_id, id AS message_id,
        round(score, 3) AS score FROM once WHERE copy = 1"""
+SQL["unified_indexed"] = SQL["unified_conversations"]
 SQL["unified_summary"] = f"""{with_(NOTES, FILES, CORPUS, CORPUS_SESSIONS, DOCUMENT_RANK, line_hits(['er', 'tion']))},
 page AS (
   SELECT r.* FROM ranked r JOIN corpus_sessions s ON r.session_id = s.id ORDER BY r.score, r.id LIMIT 20),

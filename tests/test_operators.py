@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import model
 from palimpsest.functions import paths
-from palimpsest.operators import browse, capture, clean, display, fts, ingest, lines, search, vector
+from palimpsest.operators import browse, capture, clean, display, fts, ingest, lines, search, segments, vector
 from palimpsest.operators.skew import join_on_sized_key
 from palimpsest.sources.notes import read_notes
 from palimpsest.streaming.notes import new_notes, recent_counts
@@ -141,8 +141,8 @@ def test_bm25_against_plain_python(spark, tmp_path):
 def test_indexed_search_page(spark, tmp_path):
     rows = messages(spark, [(1, "s1", "user", "red fox", 0, 1), (2, "s2", "user", "fox", 0, 1), (3, "zz", "user", "fox", 0, 1)])
     known = sessions(spark, [("s1", "ann", 1, 1), ("s2", "bob", 1, 1)])
-    postings = fts.build_postings(rows, "id", "content")
-    found = search.keyword_messages_indexed(postings, fts.corpus_stats(rows, ["content"]), rows, known, "fox", agent="BOB")
+    index = segments.open_index(spark, str(tmp_path)).add(rows, "id", "content")
+    found = search.keyword_messages_indexed(index, rows, known, "fox", agent="BOB")
     assert [(r["id"], r["content"]) for r in found.collect()] == [(2, "fox")]
 
 

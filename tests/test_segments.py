@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import fts, segments
+from palimpsest.operators import fts, search, segments
 
 WORDS = ["red", "fox", "runs", "Blue", "sky", "the", "red-fox", "ünder", "日本", "x1"]
 QUERIES = ["red fox", "red-fox", "sky", "Blue sky runs", "fox fox", "ünder 日本", "the of", "absent"]
@@ -52,7 +52,7 @@ def test_batches_replacements_deletions_and_merge(spark, tmp_path):
     merged = reread.merge(bucket_rows=60)
     assert len(merged.segments) == 1 and not merged.segments[0].tombstones
     check(spark, merged, texts)
-    assert merged.delete(spark.createDataFrame([(999,)], "id long")) is merged
+    assert merged.delete(spark.createDataFrame([(999,)], "id long")).segments == merged.segments
 
 
 def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
@@ -71,3 +71,13 @@ def test_only_the_terms_buckets_are_read(spark, tmp_path):
     plan = index.postings(["red"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "In(term" in plan or "EqualTo(term,red)" in plan
+
+
+def test_a_page_reads_no_text(spark, tmp_path):
+    rows = table(spark, {i: f"red w{i} fox" for i in range(50)})
+    rows.write.parquet(str(tmp_path / "messages"))
+    rows = spark.read.parquet(str(tmp_path / "messages")).withColumn("session_id", F.lit("s")).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz"))
+    known = spark.createDataFrame([("s", "ann", "direct", 50)], "id string, agent_id string, channel string, message_count long")
+    index = segments.open_index(spark, str(tmp_path / "index")).add(rows, "id", "content")
+    page = search.stored_page(index, rows, known, "red fox", 10, agent="ANN", date_from="2023-01-01")
+    assert page.count() == 10 and "content" not in page._jdf.queryExecution().executedPlan().toString()
