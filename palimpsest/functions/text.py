@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from palimpsest.fixed_values import (
     DEEP_LINK_CHANNEL_PATTERN,
@@ -106,22 +106,68 @@ def without_system_tags(text: Column) -> Column:
     return strip(F.regexp_replace(text, "(?s)" + SYSTEM_TAG_PATTERN, ""))
 
 
-@F.pandas_udf(StringType())
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+#: What an entity may look like: decimal, hexadecimal, or a name of at most 32 characters, each with or without its end.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The shortest and longest names that need no semicolon.
+BARE_NAMES = {name: value for name, value in html.entities.html5.items() if not name.endswith(";")}
+BARE_SIZES = range(max(map(len, BARE_NAMES)), min(map(len, BARE_NAMES)) - 1, -1)
+_HIGHEST_DIGITS = 7  # 0x10FFFF has six hexadecimal and seven decimal digits
 
 
-def html_to_text(markup: Column) -> Column:
-    """Visible text of an HTML fragment.
+def _numeric_entities() -> dict[int, str]:
+    """Numbers that do not stand for their own character: what the standard maps elsewhere or drops."""
+    numbers = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF))]
+    decoded = {n: html.unescape(f"&#{n};") for n in numbers}
+    return {n: text for n, text in decoded.items() if text != chr(n)}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    """The value of a key; the table is one literal, worked out once."""
+    return F.element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key.cast("string"))
+
 
-    Only rows holding an ampersand travel to Python for entity decoding; the
-    others are sent as NULL.
-    """
+def _numeric(digits: Column, base: int) -> Column:
+    """The character of a number in digits without leading zeros."""
+    number = F.conv(F.substring(digits, 1, _HIGHEST_DIGITS), base, 10).cast("bigint")
+    outside = (F.char_length(digits) > _HIGHEST_DIGITS) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    own = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(outside, "\ufffd").otherwise(F.coalesce(_looked_up(_numeric_entities(), number), own))
+
+
+def _decoded(entity: Column) -> Column:
+    """The text of one entity; what is none stays."""
+    name = F.substring(entity, 2, 40)
+    digits = F.regexp_replace(entity, r"\A&#[xX]?0*|;\z", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    bare = F.coalesce(
+        *[
+            F.concat(_looked_up({n: v for n, v in BARE_NAMES.items() if len(n) == size}, F.substring(name, 1, size)), F.substring(name, size + 1, 40))
+            for size in BARE_SIZES
+        ],
+        entity,
+    )
+    named = F.coalesce(_looked_up({n: v for n, v in html.entities.html5.items() if n.endswith(";")}, name), bare)
+    return (
+        F.when(entity.rlike(r"\A&#[xX]"), _numeric(digits, 16))
+        .when(F.startswith(entity, F.lit("&#")), _numeric(digits, 10))
+        .otherwise(named)
+    )
+
+
+def decode_entities(text: Column) -> Column:
+    """HTML entities as characters, each replaced once, where it stands."""
+    between = F.split(text, ENTITY)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _decoded)
+    both = F.zip_with(between, found, lambda before, entity: F.concat(before, F.coalesce(entity, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(both, "")).otherwise(text)
+
+
+def html_to_text(markup: Column) -> Column:
+    """Visible text of an HTML fragment."""
     text = F.regexp_replace(markup, r"(?is)<(style|script)[^>]*>.*?</\1>", "")
     text = F.regexp_replace(text, r"(?i)<(br|p|div|tr|li|h[1-6])[^>]*/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    with_entity = F.when(F.contains(text, F.lit("&")), text)
-    text = F.coalesce(_decode_entities(with_entity), text)
+    text = decode_entities(text)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return strip(text)

@@ -338,43 +338,96 @@ def without_orphaned_vectors(vectors: DataFrame, messages: DataFrame) -> DataFra
 def dry_run(
     messages: DataFrame, sessions: DataFrame, vectors: DataFrame, categories=None
 ) -> DataFrame:
-    """Totals of all detectors, one row; detectors left out count as zero."""
+    """Totals of all detectors, one row; detectors left out count as zero.
+
+    Texts are read once. A message becomes one narrow row for its slot in the session, with flags, and one for its text
+    digest; both kinds are counted by one shuffle, first within a session and then by session or digest, so a text
+    or a session with a third of all rows is one row per task by then.
+    """
     chosen = set(
         categories or ["duplicates", "junk", "noise", "orphaned_embeddings", "similar"]
     )
-
-    def one(df: DataFrame, wanted: str, kind: str = "bigint") -> Column:
-        return df.select(wanted).scalar().cast(kind)
-
-    zero, nothing = F.lit(0).cast("bigint"), F.lit(0.0)
-    found = dict.fromkeys(
-        ["duplicates_found", "junk_found", "noise_found", "orphaned_embeddings_found", "similar_found"],
-        zero,
-    )
-    savings = [nothing]
-    if "duplicates" in chosen:
-        totals = repeated_summary(messages)
-        found["duplicates_found"] = one(totals, "total_removable")
-        savings.append(one(totals, "estimated_savings_mb", "double"))
-    if "junk" in chosen:
-        total = junk(messages, sessions).agg(F.count(F.lit(1)).alias("n"))
-        found["junk_found"] = one(total, "n")
-    if "noise" in chosen:
-        total = noise(messages).agg(F.count(F.lit(1)).alias("n"))
-        found["noise_found"] = one(total, "n")
+    counted = _dry_run_counts(messages, chosen)
+    known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("_known")).distinct()
+    slots, alike = F.col("kind") == _SLOT, (F.col("kind") == _TEXT) & (F.col("sessions") >= 2)
+    surplus = F.col("copies") - 1
+    zero = F.lit(0).cast("bigint")
+
+    def total(condition: Column, amount: Column | str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(amount) if isinstance(amount, str) else amount)), zero)
+
+    orphans = F.when(F.col("_known").isNull(), F.col("copies")).otherwise(zero)
+    sums = counted.join(known, "session_id", "left").agg(
+        total(slots, "copies").alias("total_messages"),
+        total(slots, "surplus").alias("duplicates_found"),
+        (total(slots, F.col("junk") + orphans) if "junk" in chosen else zero).alias("junk_found"),
+        total(slots, "noise").alias("noise_found"),
+        total(alike, surplus).alias("similar_found"),
+        megabytes(F.sum(F.when(slots, F.col("surplus_chars")))).alias("_repeated_mb"),
+        megabytes(F.sum(F.when(alike, F.col("chars") / F.col("copies") * surplus))).alias("_similar_mb"),
+    )
+    savings = ["_repeated_mb"] * ("duplicates" in chosen) + ["_similar_mb"] * ("similar" in chosen)
+    saved = [F.col(c) for c in savings]
+    orphaned = zero
     if "orphaned_embeddings" in chosen:
         totals = orphaned_vectors_summary(vectors, messages)
-        found["orphaned_embeddings_found"] = one(totals, "total")
-        savings.append(one(totals, "estimated_savings_mb", "double"))
-    if "similar" in chosen:
-        totals = similar_summary(messages)
-        found["similar_found"] = one(totals, "total_removable")
-        savings.append(one(totals, "estimated_savings_mb", "double"))
-    return messages.sparkSession.range(1).select(
-        one(messages.agg(F.count(F.lit(1)).alias("n")), "n").alias("total_messages"),
-        one(sessions.agg(F.count(F.lit(1)).alias("n")), "n").alias("total_sessions"),
-        *[column.alias(name) for name, column in found.items()],
-        F.round(reduce(lambda a, b: a + b, savings), 2).alias("estimated_savings_mb"),
+        orphaned = totals.select("total").scalar().cast("bigint")
+        saved.append(totals.select("estimated_savings_mb").scalar().cast("double"))
+    return sums.select(
+        "total_messages",
+        sessions.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_sessions"),
+        (F.col("duplicates_found") if "duplicates" in chosen else zero).alias("duplicates_found"),
+        "junk_found",
+        "noise_found",
+        orphaned.alias("orphaned_embeddings_found"),
+        "similar_found",
+        F.round(reduce(lambda x, y: x + y, saved, F.lit(0.0)), 2).alias("estimated_savings_mb"),
+    )
+
+
+_SLOT, _TEXT = 0, 1
+
+
+def _dry_run_counts(messages: DataFrame, chosen: set[str]) -> DataFrame:
+    """Rows of sessions (kind _SLOT) and of texts (kind _TEXT) with their counts."""
+    text, none = F.col("content"), F.lit(False)
+    is_junk = is_blank(text).cast("int") + (F.char_length(text).between(1, 10) & is_single_emoji(text)).cast("int")
+    lowered = computed_once(
+        messages.select("id", "session_id", "role", "message_index", "content"), {"_lowered": F.lower(text)} if "noise" in chosen else {"_lowered": F.lit("")}
+    )
+    passing = passes_noise_filter(text, F.col("_lowered")) if "noise" in chosen else none
+    noisy = F.coalesce(F.when(passing, noise_reason(text).isNotNull()), none).cast("int")
+    chars = F.char_length(text).cast("long")
+
+    def row(kind: int, digest: Column, role: Column, index: Column, junk_: Column, noise_: Column) -> Column:
+        fields = {"kind": F.lit(kind), "digest": digest, "role": role, "message_index": index, "chars": chars, "junk": junk_, "noise": noise_}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    slot = row(
+        _SLOT, F.lit(None).cast("binary"), F.col("role"), F.col("message_index"),
+        F.coalesce(is_junk, F.lit(0)) if "junk" in chosen else F.lit(0), noisy,
+    )
+    digest = F.unhex(F.sha2(compared_text("exact", text), 256))
+    alike = row(_TEXT, digest, F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(0), F.lit(0))
+    rows = F.array(slot, F.when(chars > SIMILAR_MIN_CHARS, alike)) if "similar" in chosen else F.array(slot)
+    facts = lowered.select("id", "session_id", F.inline(F.array_compact(rows)))
+    within = facts.groupBy("kind", "digest", "session_id", "role", "message_index").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min_by("chars", "id").alias("first_chars"),
+        F.sum("chars").alias("chars"),
+        F.sum("junk").alias("junk"),
+        F.sum("noise").alias("noise"),
+    )
+    session = F.when(F.col("kind") == _SLOT, F.col("session_id"))
+    surplus = F.col("copies") - 1
+    return within.groupBy("kind", "digest", session.alias("session_id")).agg(
+        F.sum("copies").alias("copies"),
+        F.count(F.lit(1)).alias("sessions"),
+        F.sum("chars").alias("chars"),
+        F.sum("junk").alias("junk"),
+        F.sum("noise").alias("noise"),
+        F.sum(surplus).alias("surplus"),
+        F.sum(F.coalesce("first_chars", F.lit(0)) * surplus).alias("surplus_chars"),
     )
 
 

@@ -1,5 +1,7 @@
 """Text, request and path functions on hand-made inputs."""
 
+import html
+import random
 from datetime import datetime
 
 import pytest
@@ -128,3 +130,16 @@ def test_globs_and_links(spark):
     assert values(spark, ["/x/a1.txt", "/x/b1.txt"], lambda c: paths.is_excluded(c, ["[!b]?.txt"])) == [True, False]
     linked = ["[Discord g channel id:12] [message_id: 34] x", "[message_id: 34]", "none"]
     assert values(spark, linked, text.deep_link) == ["https://discord.com/channels/@me/12/34", None, None]
+
+
+def test_entities_equal_the_standard_library(spark):
+    rng = random.Random(7)
+    names = ["amp", "lt;", "gt", "nbsp;", "notin;", "not", "notit;", "copy", "copyleft", "hearts;", "CounterClockwiseContourIntegral;", "bogus;", "AMP;", "ngE;", "acE;"]
+    numbers = ["0", "13", "128", "159", "160", "65", "55296", "57343", "1114111", "1114112", "64976", "65534", "99999999999999999999999", "00065", "1", "11", "127"]
+    parts = [f"&{n}" for n in names] + [f"&#{n}" + e for n in numbers for e in ("", ";")] + [f"&#x{int(n):x};" for n in numbers] + [f"&#X{int(n):X}" for n in numbers]
+    parts += ["&", "&&", "&#", "&#x;", "&;", " ", "x", ";", "é&", "\n", "&amp;lt;", "&a b", "&" + "z" * 40]
+    given = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(400)] + parts + [None, ""]
+    frame = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "id int, text string")
+    found = {r.id: r.found for r in frame.select("id", text.decode_entities(F.col("text")).alias("found")).collect()}
+    wrong = [(g, found[i], html.unescape(g)) for i, g in enumerate(given) if g is not None and found[i] != html.unescape(g)]
+    assert not wrong and found[len(given) - 2] is None
