@@ -5,17 +5,17 @@ logic lives here, so each entry can be compared with the behaviour it encodes.
 """
 
 # --- fixed values: English stop words dropped from keyword queries -----------
-STOP_WORDS = frozenset(
-    """
-    a an the is are was were be been being have has had do does did will would
-    could should may might shall can need dare ought to of in for on with at by
-    from as into about between through during before after above below up down
-    out off over under and but or nor not so yet both either neither each every
-    all any few more most other some such no only own same than too very just
-    because if when where while that this these those i me my we our you your
-    he him his she her it its they them their what which who whom
-    """.split()
-)
+STOP_WORDS = frozenset({
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need",
+    "dare", "ought", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into",
+    "about", "between", "through", "during", "before", "after", "above", "below", "up", "down",
+    "out", "off", "over", "under", "and", "but", "or", "nor", "not", "so", "yet", "both", "either",
+    "neither", "each", "every", "all", "any", "few", "more", "most", "other", "some", "such", "no",
+    "only", "own", "same", "than", "too", "very", "just", "because", "if", "when", "where", "while",
+    "that", "this", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him",
+    "his", "she", "her", "it", "its", "they", "them", "their", "what", "which", "who", "whom",
+})
 
 # --- fixed values: secret patterns, applied in this order --------------------
 # (pattern, group holding the secret)

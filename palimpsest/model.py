@@ -199,10 +199,10 @@ def secret_texts(spark: SparkSession, folder: str) -> DataFrame:
     planted = (
         F.when(kind == 0, F.concat(text, F.lit(" password="), digest, F.lit(" end")))
         .when(kind == 1, F.concat(F.lit("api_key: '"), digest, F.lit("' "), text))
-        .when(kind == 2, F.concat(text, F.lit(" AK"), F.lit("IA"), upper, F.lit(" "), text))
+        .when(kind == 2, F.concat(text, F.lit(" AKIA"), upper, F.lit(" "), text))
         .when(kind == 3, F.concat(text, F.lit(" Authorization: Bearer "), digest, F.lit(". "), text))
-        .when(kind == 4, F.concat(F.lit("x s"), F.lit("k-"), digest, F.lit(" "), text))
-        .when(kind == 5, F.concat(text, F.lit(" xo"), F.lit("xb-"), digest, F.lit(" gh"), F.lit("p_"), digest))
+        .when(kind == 4, F.concat(F.lit("x sk-"), digest, F.lit(" "), text))
+        .when(kind == 5, F.concat(text, F.lit(" xoxb-"), digest, F.lit(" ghp_"), digest))
         .when(kind == 6, F.concat(text, F.lit(" postgres://user:"), digest, F.lit("@db ")))
         .when(kind == 7, F.concat(text, F.lit(" COOKIE_SECRET="), digest, F.lit("\nPWD: "), digest))
         .otherwise(text)

@@ -714,9 +714,9 @@ def secret_texts(value: str, digest: str = "h") -> str:
         WHEN 7 THEN text || ' COOKIE_SECRET=' || {value} || chr(10) || 'PWD: ' || {value}
         ELSE text END AS content
       FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h,
-                   ' AK' || 'IA' || upper(left(md5(CAST(doc_id AS VARCHAR)), 16)) || ' ' AS h2,
-                   md5(CAST(doc_id AS VARCHAR)) || '. ' AS h3, 's' || 'k-' || md5(CAST(doc_id AS VARCHAR)) AS h4,
-                   ' xo' || 'xb-' || md5(CAST(doc_id AS VARCHAR)) || ' gh' || 'p_' || md5(CAST(doc_id AS VARCHAR)) AS h5,
+                   ' AKIA' || upper(left(md5(CAST(doc_id AS VARCHAR)), 16)) || ' ' AS h2,
+                   md5(CAST(doc_id AS VARCHAR)) || '. ' AS h3, 'sk-' || md5(CAST(doc_id AS VARCHAR)) AS h4,
+                   ' xoxb-' || md5(CAST(doc_id AS VARCHAR)) || ' ghp_' || md5(CAST(doc_id AS VARCHAR)) AS h5,
                    '[REDACTED]' AS r, ' [REDACTED] ' AS r2, '[REDACTED] ' AS r3, '[REDACTED]' AS r4,
                    ' [REDACTED] [REDACTED]' AS r5 FROM documents))"""
 
@@ -794,7 +794,8 @@ def mail_outcome(body: str) -> str:
 
 
 SQL["mail_noise"] = f"{with_(MAIL)} SELECT id, CAST({MAIL_NOISE} AS INTEGER) AS noise FROM mail"
-SQL["mail_capture"] = f"{with_(MAIL)}, {mail_outcome(f'left({html_text(chr(98) + chr(111) + chr(100) + chr(121))}, 8000)')}"
+MAIL_BODY = f"left({html_text('body')}, 8000)"
+SQL["mail_capture"] = f"{with_(MAIL)}, {mail_outcome(MAIL_BODY)}"
 SQL["mail_backfill"] = f"{with_(MAIL)}, {mail_outcome('snippet')} WHERE received_at >= TIMESTAMP '2024-01-04 00:00:00'"
 SQL["mail_merge"] = f"""{with_(MAIL)}
 SELECT id, account, CASE WHEN contains(snippet, '.org/') THEN subject ELSE 'sent: ' || subject END AS subject
