@@ -102,19 +102,22 @@ class Aligner:
         return found
 
     def _aligned(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        a, b = (memoryview(side).cast("I").tolist() for side in key)
-        sizes_a, sizes_b, names = self.sizes_a, self.sizes_b, self.names
+        a, b = memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist()
+        names = self.names
+        if len(a) == 1 or len(b) == 1:  # one group
+            return ",".join([names[i] for i in a]) + "|" + ",".join([names[i] for i in b]), key[0][-4:] + key[1][-4:]
+        size_a, size_b = self.sizes_a, self.sizes_b
         groups, links = [], []
-        at_a = at_b = low_a = low_b = end_a = end_b = 0
+        at_a = at_b = low_a = low_b = ahead = 0  # bytes that A is ahead of B
         while at_a < len(a):  # both sides have the same bytes, so they end together
-            end_a, end_b = end_a + sizes_a[a[at_a]], end_b + sizes_b[b[at_b]]
-            while end_a != end_b:
-                if end_a < end_b:
+            ahead = size_a[a[at_a]] - size_b[b[at_b]]
+            while ahead:
+                if ahead < 0:
                     at_a += 1
-                    end_a += sizes_a[a[at_a]]
+                    ahead += size_a[a[at_a]]
                 else:
                     at_b += 1
-                    end_b += sizes_b[b[at_b]]
+                    ahead -= size_b[b[at_b]]
             links += a[at_a], b[at_b]
             at_a, at_b = at_a + 1, at_b + 1
             groups.append(",".join([names[i] for i in a[low_a:at_a]]) + "|" + ",".join([names[i] for i in b[low_b:at_b]]))
