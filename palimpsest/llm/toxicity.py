@@ -44,9 +44,9 @@ EPOCHS = 20
 #: Lengths of the beginnings of words that are terms.
 STEMS = (4, 5)
 MARKS = ".,;:!?\"'()[]{}<>*_`~-…«»„“”‚‘’¡¿"
-KEPT_WORDS = 400_000
-#: Terms whose pairs are looked at in one task, and bytes of rows' terms that a worker turns at a time.
-BLOCK, HELD_BYTES = 512, 8_000_000
+KEPT_WORDS = 200_000
+#: Terms whose pairs are looked at in one task, of these at once, and bytes of rows' terms that a worker turns at a time.
+TILE, BLOCK, HELD_BYTES = 4_096, 256, 4_000_000
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -161,7 +161,7 @@ def _held(rows: list[np.ndarray], n_rows: int) -> np.ndarray:
     return held
 
 
-def telling_pairs(a: list[np.ndarray], b: list[np.ndarray], labels: np.ndarray, rule: Clearness) -> np.ndarray:
+def clear_pairs(a: list[np.ndarray], b: list[np.ndarray], labels: np.ndarray, rule: Clearness) -> np.ndarray:
     """For each two of the terms a and b, given by the rows that hold them, whether the pair is clear."""
     held = _held(a, len(labels)), _held(b, len(labels))
     ones = np.flatnonzero(labels)
@@ -170,6 +170,21 @@ def telling_pairs(a: list[np.ndarray], b: list[np.ndarray], labels: np.ndarray,
     return rule.clear(*sums, (held[0] @ held[1].T).astype(float), (toxic[0] @ toxic[1].T).astype(float))
 
 
+def telling_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, labels: np.ndarray, rule: Clearness) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms a, and which of b, are in a clear pair of both; with None for b, in a pair of two of a."""
+    same = b is None
+    b = a if same else b
+    told = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for low in range(0, len(a), BLOCK):
+        for other in range(low if same else 0, len(b), BLOCK):
+            found = clear_pairs(a[low : low + BLOCK], b[other : other + BLOCK], labels, rule)
+            if same and low == other:
+                np.fill_diagonal(found, False)
+            told[0][low : low + BLOCK] |= found.any(1)
+            told[1][other : other + BLOCK] |= found.any(0)
+    return (told[0] | told[1],) * 2 if same else told
+
+
 def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS, **settings) -> Machine:
     """Fits a machine to a few rows of hashed terms, all in one process."""
     labels = labels.astype(float)
@@ -185,13 +200,7 @@ def train(rows: list[list[int]], labels: np.ndarray, *, min_rows: int = MIN_ROWS
     toxic = np.array([labels[h].sum() for h in holders])
     kept = rule.telling(np.array([len(h) for h in holders], float), toxic)
     if 0 < labels.sum() < len(labels):
-        for low in range(0, len(terms), BLOCK):
-            for other in range(0, low + 1, BLOCK):
-                found = telling_pairs(holders[low : low + BLOCK], holders[other : other + BLOCK], labels, rule)
-                if low == other:
-                    np.fill_diagonal(found, False)
-                kept[low : low + BLOCK] |= found.any(1)
-                kept[other : other + BLOCK] |= found.any(0)
+        kept |= telling_pairs(holders, None, labels, rule)[0]
     known = [_positions(terms[kept], row) for row in rows]
     edges = np.cumsum([0, *map(len, known)])
     return descend(terms[kept], np.concatenate([*known, np.zeros(0, np.int64)]), edges, labels, **settings)
@@ -256,11 +265,16 @@ def _learnable(docs: DataFrame, labels: DataFrame, most_rows: int, folds: int) -
     return stage(rows.select("row", "toxic", "place", "terms"), "toxicity-rows")
 
 
+def _number_type(rows: int) -> str:
+    return "<u2" if rows <= 2**16 else "<i4"
+
+
 def _holders(rows: DataFrame, numbers: Broadcast) -> DataFrame:
-    """(term, rows): for some of the terms' rows at a time, their numbers; rows without a number are left out."""
+    """(term, rows): for some of the terms' rows at a time, their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order = numbers.value
+        kind = np.dtype(_number_type(len(known)))
         for batch in batches:
             for part in by_size(batch, HELD_BYTES):
                 at = np.searchsorted(known, part.column(0).to_numpy())
@@ -269,8 +283,8 @@ def _holders(rows: DataFrame, numbers: Broadcast) -> DataFrame:
                 terms = np.frombuffer(b"".join(blobs), np.uint32)
                 by_term = np.argsort(terms, kind="stable")
                 distinct, starts = np.unique(terms[by_term], return_index=True)
-                owners = owner[by_term].astype("<i4").tobytes()
-                edges = pa.array(np.append(starts, len(terms)) * 4, pa.int32())
+                owners = owner[by_term].astype(kind).tobytes()
+                edges = pa.array(np.append(starts, len(terms)) * kind.itemsize, pa.int32())
                 lists = pa.BinaryArray.from_buffers(pa.binary(), len(distinct), [None, edges.buffers()[1], pa.py_buffer(owners)])
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), lists], names=["term", "rows"])
 
@@ -283,11 +297,11 @@ def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_ro
     order = np.argsort(numbers)
     shared = spark.sparkContext.broadcast((numbers[order], order))
     marks = spark.sparkContext.broadcast(labels)
-    holders = stage(_holders(rows, shared), "toxicity-terms")
+    holders, kind = _holders(rows, shared), _number_type(len(numbers))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+            lists = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
             sums = [pa.array([f(x) for x in lists], pa.int64()) for f in (len, lambda x: int(marks.value[x].sum()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sums], names=["term", "n", "k"])
 
@@ -301,18 +315,16 @@ def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_ro
         able = stage(often.where((F.col("k") >= few_toxic) | (F.col("n") >= few_rows)).select("term"), "toxicity-able")
         # Of each term at most the numbers of all rows learned from, which are bounded.
         whole = holders.join(able, "term").groupBy("term").agg(F.collect_list("rows").alias("rows"))
-        tiles = tiled(stage(whole.select(F.lit(0).alias("all"), F.col("term").alias("node"), "rows"), "toxicity-able"), "all", BLOCK)
+        tiles = tiled(stage(whole.select(F.lit(0).alias("all"), F.col("term").alias("node"), "rows"), "toxicity-able"), "all", TILE)
 
         def compared(table: pa.Table) -> pa.Table:
             own = table.column("own").to_numpy()
-            lists = [np.concatenate([np.frombuffer(x, "<i4") for x in parts]) for parts in table.column("rows").to_pylist()]
+            lists = [np.concatenate([np.frombuffer(x, kind) for x in parts]) for parts in table.column("rows").to_pylist()]
             terms = table.column("node").to_numpy()
             low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
             a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            found = telling_pairs([lists[i] for i in a], [lists[i] for i in b], marks.value, rule)
-            if low == high:
-                np.fill_diagonal(found, False)
-            return pa.table({"term": np.concatenate([terms[a[found.any(1)]], terms[b[found.any(0)]]])})
+            told_a, told_b = telling_pairs([lists[i] for i in a], None if low == high else [lists[i] for i in b], marks.value, rule)
+            return pa.table({"term": np.concatenate([terms[a[told_a]], terms[b[told_b]]])})
 
         told = told.union(tiles.groupBy("low", "high").applyInArrow(compared, "term long"))
     return np.sort(told.distinct().toArrow().column(0).to_numpy()).astype(np.uint32)
