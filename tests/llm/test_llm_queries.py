@@ -31,7 +31,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for view in ("documents", "conversations"):
+    for view in ("documents", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     found = QUERIES[name](spark, FOLDER).toPandas()
     want = connection.execute(SQL[name]).df()
