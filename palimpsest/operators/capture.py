@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.fixed_values import (
     BODY_CHARS,
@@ -18,6 +19,7 @@ from palimpsest.functions.noise import is_document_noise, is_mail_noise
 from palimpsest.functions.secrets import redact
 from palimpsest.functions.text import head, html_to_text, strip
 from palimpsest.operators.filters import as_time, days_before
+from palimpsest.session import staged
 
 LOG_KEY = ["source_type", "source_id", "account"]
 
@@ -34,41 +36,100 @@ def prepared_notes(raw: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeats(notes: DataFrame, hours: int = REPEAT_WINDOW_HOURS) -> DataFrame:
-    """Notes without those repeating a stored note of the last 24 hours.
-
-    Only a stored note silences later ones, so each text is a chain from one kept
-    note to the next. Times have second precision, as stored. Equal seconds of a
-    text collapse before anything is grouped, so the times of one text number at
-    most 86,400 per day of history however many rows carry it.
-    """
-    seconds = F.timestamp_diff(
+def _keyed(notes: DataFrame) -> DataFrame:
+    """(id, digest, second) of each note."""
+    second = F.timestamp_diff(
         "SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("created_at")
     )
-    firsts = (
-        notes.select("id", F.sha2("content", 256).alias("digest"), seconds.alias("second"))
+    return notes.select("id", F.coalesce(F.sha2("content", 256), F.lit("")).alias("digest"), second.alias("second"))
+
+
+def _first_of_seconds(notes: DataFrame, width: int) -> DataFrame:
+    """(digest, second, id, slot): the first note of each text and second. Slots are `width` seconds wide."""
+    return (
+        _keyed(notes)
         .groupBy("digest", "second")
         .agg(F.min("id").alias("id"))
+        .withColumn("slot", F.floor(F.col("second") / width))
+    )
+
+
+def _next_kept(firsts: DataFrame, width: int) -> DataFrame:
+    """(digest, second, next): the first second of the text that a note kept at `second` does not silence.
+
+    It is in the slot after the note's own, which then is one bounded group, or else it is the first of a later slot.
+    """
+    slots = firsts.groupBy("digest", "slot").agg(F.min("second").alias("first"))
+    later = Window.partitionBy("digest").orderBy("slot")  # a row for each slot of the history
+    beyond = F.when(F.lead("slot").over(later) == F.col("slot") + 1, F.lead("first", 2).over(later)).otherwise(
+        F.lead("first").over(later)
     )
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")
+    beyond = slots.select("digest", "slot", beyond.alias("_beyond"))
+    none = F.lit(None).cast("bigint")
+    there = firsts.select("digest", "slot", F.col("second").alias("at"), F.col("second").alias("found"), none.alias("second"))
+    asked = firsts.select(
+        "digest", (F.col("slot") + 1).alias("slot"), (F.col("second") + width).alias("at"), none.alias("found"), "second"
+    )
+    after = Window.partitionBy("digest", "slot").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    inside = there.unionByName(asked).withColumn("_inside", F.min("found").over(after)).where(F.col("second").isNotNull())
+    inside = inside.select("digest", (F.col("slot") - 1).alias("slot"), "second", "_inside")
+    return inside.join(beyond, ["digest", "slot"]).select(
+        "digest", "second", F.coalesce("_inside", "_beyond").alias("next")
     )
 
-    def step(state: Column, note: Column) -> Column:
-        silenced = note.getField("second") <= state.getField("last") + hours * 3600
-        return F.when(silenced, state).otherwise(
-            F.struct(
-                note.getField("second").alias("last"),
-                F.array_append(state.getField("kept"), note.getField("id")).alias("kept"),
-            )
+
+def _kept_seconds(firsts: DataFrame, width: int) -> DataFrame:
+    """(digest, second) of the notes that stay, by pointer doubling.
+
+    Each second points to the next one it would let through. A text's first note stays, and so does all that pointers
+    reach from there. Each turn doubles what is reached and how far pointers reach, so the turns are the logarithm of the longest chain.
+    """
+    jumps = staged(_next_kept(firsts, width).where(F.col("next").isNotNull()), "repeats-jumps")
+    kept = staged(firsts.groupBy("digest").agg(F.min("second").alias("second")), "repeats-kept")
+    while not jumps.isEmpty():
+        reached = kept.join(jumps, ["digest", "second"]).select("digest", F.col("next").alias("second"))
+        kept = staged(kept.unionByName(reached), "repeats-kept")
+        onward = jumps.select("digest", F.col("second").alias("next"), F.col("next").alias("_far"))
+        jumps = staged(
+            jumps.join(onward, ["digest", "next"]).select("digest", "second", F.col("_far").alias("next")), "repeats-jumps"
         )
+    return kept
+
 
-    kept_ids = (
-        firsts.groupBy("digest")
-        .agg(F.array_sort(F.collect_list(F.struct("second", "id"))).alias("times"))
-        .select(F.explode(F.aggregate("times", start, step).getField("kept")).alias("id"))
+def capture_answers(notes: DataFrame, hours: int = REPEAT_WINDOW_HOURS) -> DataFrame:
+    """(id, stored_id, duplicate) of each note: the stored note that stands for it, itself unless it is a repeat.
+
+    Only a stored note silences later ones of its text, for some hours, the last second included. Times have second
+    precision, as stored; of equal times the smallest id is stored. Notes without a time repeat each other alone. All
+    null texts are one text. No text is gathered in one group: its seconds meet by slots as wide as the window, and a
+    slot holds one stored note at most.
+    """
+    width = hours * 3600
+    firsts = staged(_first_of_seconds(notes, width), "repeats-seconds")
+    timed = firsts.where(F.col("second").isNotNull())
+    stored = _kept_seconds(timed, width).join(timed, ["digest", "second"])
+    note = F.struct(F.col("second").alias("at"), F.col("id").alias("stored_id"))
+    near = stored.select("digest", F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"), note.alias("note"))
+    near = near.groupBy("digest", "slot").agg(F.min("note").alias("_one"), F.max("note").alias("_two"))
+    last = F.when(F.col("_two.at") <= F.col("second"), F.col("_two.stored_id")).otherwise(F.col("_one.stored_id"))
+    answers = timed.join(near, ["digest", "slot"]).select("digest", "second", last.alias("stored_id"))
+    timeless = firsts.where(F.col("second").isNull()).select("digest", "second", F.col("id").alias("stored_id"))
+    answers = staged(answers.unionByName(timeless), "repeats-answers")
+    keyed = _keyed(notes).toDF("id", "_digest", "_second")
+    same = (F.col("_digest") == F.col("digest")) & F.col("_second").eqNullSafe(F.col("second"))
+    return keyed.join(answers, same).select(
+        "id", "stored_id", (F.col("id") != F.col("stored_id")).alias("duplicate")
     )
-    return notes.join(kept_ids, "id", "left_semi")
+
+
+def drop_repeats(notes: DataFrame, hours: int = REPEAT_WINDOW_HOURS) -> DataFrame:
+    """Notes without those repeating a stored note of the last 24 hours; see capture_answers()."""
+    width = hours * 3600
+    firsts = staged(_first_of_seconds(notes, width), "repeats-seconds")
+    kept = _kept_seconds(firsts.where(F.col("second").isNotNull()), width)
+    ids = firsts.join(kept, ["digest", "second"]).select("id")
+    ids = ids.unionByName(firsts.where(F.col("second").isNull()).select("id"))
+    return notes.join(ids, "id", "left_semi")
 
 
 def delete_notes(notes: DataFrame, vectors: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:

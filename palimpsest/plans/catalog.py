@@ -1037,6 +1037,13 @@ def thought_dedup_24h(spark, folder):
     )
 
 
+@query
+def thought_repeats(spark, folder):
+    """What capturing each note answers: the id stored for it, and whether it was a repeat."""
+    answers = capture.capture_answers(model.repeated_notes(spark, folder))
+    return answers.withColumn("duplicate", F.col("duplicate").cast("int"))
+
+
 @query
 def thought_prepare(spark, folder):
     """Incoming notes stripped and redacted."""

@@ -844,15 +844,20 @@ FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY
 SQL["not_captured"] = """
 SELECT 'gmail' AS source_type, CAST(page_id AS VARCHAR) AS source_id, CAST(page_id % 2 AS VARCHAR) AS account
 FROM pages WHERE NOT contains(url, '://m.')"""
-SQL["thought_dedup_24h"] = f"""
+NOTE_CHAINS = """
 WITH RECURSIVE notes AS (
   SELECT event_type || ':' || user_id AS content, date_trunc('second', ts) AS t, min(event_id) AS id FROM events GROUP BY 1, 2),
 chain AS (
   SELECT content, min(t) AS t FROM notes GROUP BY content
   UNION ALL
   SELECT c.content, (SELECT min(n.t) FROM notes n WHERE n.content = c.content AND n.t > c.t + INTERVAL 24 HOUR) AS t
-  FROM chain c WHERE c.t IS NOT NULL)
-SELECT n.id, n.content, {shown('n.t')} AS created FROM chain c JOIN notes n ON n.content = c.content AND n.t = c.t"""
+  FROM chain c WHERE c.t IS NOT NULL),
+kept AS (SELECT n.id, n.content, n.t FROM chain c JOIN notes n ON n.content = c.content AND n.t = c.t)"""
+SQL["thought_dedup_24h"] = f"""{NOTE_CHAINS}
+SELECT id, content, {shown('t')} AS created FROM kept"""
+SQL["thought_repeats"] = f"""{NOTE_CHAINS}
+SELECT e.event_id AS id, k.id AS stored_id, CAST(e.event_id <> k.id AS INTEGER) AS duplicate
+FROM events e ASOF JOIN kept k ON e.event_type || ':' || e.user_id = k.content AND date_trunc('second', e.ts) >= k.t"""
 SQL["thought_prepare"] = f"""{with_(REDACTED)}
 SELECT id, md5(trim(content, ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM planted"""
 SQL["purge_mail_noise"] = f"""{with_(MAIL)},
