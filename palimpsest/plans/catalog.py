@@ -378,6 +378,21 @@ def unified_fallback(spark, folder):
     return arms["thoughts"].select("id", "source", F.round("score", 3).alias("score"))
 
 
+def mean_of_three(spark: SparkSession, folder: str) -> list[float]:
+    """A question's vector that lies between those of three messages, the ones with the smallest ids."""
+    three = model.vectors(spark, folder).orderBy("message_id").limit(3).select("embedding").collect()
+    return [sum(x) / len(three) for x in zip(*(r["embedding"] for r in three))]
+
+
+@query
+def unified_semantic(spark, folder):
+    """A question routed to vectors that finds some, ranked by similarity."""
+    asked = mean_of_three(spark, folder)
+    request = search.SearchRequest("what of the tion er", limit=20, conversations_only=True)
+    arms = search.unified_search(library(spark, folder), request, lambda _: asked)
+    return arms["conversations"].select("agent", "role", "content", "session_id", "message_id", F.round("score", 3).alias("score"))
+
+
 @query
 def result_dedup(spark, folder):
     """The first message of each role and text beginning."""
@@ -389,7 +404,7 @@ def route_queries(spark, folder):
     """Every document's head, and every sentence asked about it, routed."""
     asked = derived.questions(spark, folder)
     return asked.select(
-        "doc_id", requests.wants_semantic_column(F.col("question")).cast("int").alias("semantic")
+        "doc_id", "place", requests.wants_semantic_column(F.col("question")).cast("int").alias("semantic")
     )
 
 

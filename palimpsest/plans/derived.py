@@ -13,15 +13,17 @@ def _pick(key: Column, *values: str) -> Column:
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
-    """A question about each document, in many forms."""
+    """(doc_id, place, question): a question about each document's first words (place 0) and about each of its sentences."""
     doc = F.col("doc_id")
     start = _pick(
         doc, "what is ", "the plan for ", '"', "how ", "act_", "did we settle on ", "", "docs/", "tell me: ", "please discuss ",
     )
     end = _pick(F.floor(doc / 10), "?", "", '"', ".md", " again", " 1.2.3", " 0123456789", " now")
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    body = F.array_join(F.slice(words, 1, (doc % 4 + 1).cast("int")), " ")
-    return model.table(spark, folder, "documents").select("doc_id", F.concat(start, body, end).alias("question"))
+    head = F.array_join(F.slice(words, 1, (doc % 4 + 1).cast("int")), " ")
+    sentences = F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    asked = model.table(spark, folder, "documents").select("doc_id", F.posexplode(F.concat(F.array(head), sentences)).alias("place", "body"))
+    return asked.select("doc_id", "place", F.concat(start, "body", end).alias("question"))
 
 
 def tool_messages(spark: SparkSession, folder: str) -> DataFrame:

@@ -293,19 +293,39 @@ SELECT *, 'Found ' || conversations || ' conversation matches' || CASE WHEN thou
   ELSE ' and ' || files || ' file matches' END AS summary FROM sizes"""
 SQL["unified_fallback"] = f"""{with_(NOTES, ranked('notes', ['content', 'metadata', 'source', 'agent'], [['tion'], ['er']]))}
 SELECT id, source, round(ranked.score, 3) AS score FROM ranked ORDER BY ranked.score, id LIMIT 20"""
+SQL["unified_semantic"] = f"""{with_(VECTORS, CORPUS, CORPUS_SESSIONS)},
+parts AS (SELECT id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM vectors),
+asked AS (SELECT pos, avg(x) AS m FROM parts WHERE id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3) GROUP BY pos),
+near AS (
+  SELECT p.id, sum(p.x * a.m) / (sqrt(sum(p.x * p.x)) * sqrt(sum(a.m * a.m)) + 1e-10) AS score
+  FROM parts p JOIN asked a USING (pos) GROUP BY p.id),
+best AS (
+  SELECT c.id, c.session_id, s.agent_id, c.role, c.content, n.score
+  FROM near n JOIN corpus c ON n.id = c.id JOIN corpus_sessions s ON c.session_id = s.id WHERE n.score >= 0.45),
+once AS (SELECT *, row_number() OVER (PARTITION BY role || ':' || left(content, 200) ORDER BY score DESC, id) AS copy FROM best),
+page AS (SELECT * FROM once WHERE copy = 1 ORDER BY once.score DESC, id LIMIT 20),
+shown AS (SELECT *, row_number() OVER (PARTITION BY role || ':' || left(content, 500) ORDER BY score DESC, id) AS again FROM page)
+SELECT agent_id AS agent, role, left(content, 500) AS content, session_id, id AS message_id, round(shown.score, 3) AS score
+FROM shown WHERE again = 1"""
 SQL["result_dedup"] = f"""{with_(CORPUS)}
 SELECT min(id) AS id, role FROM corpus GROUP BY role, left(content, 500)"""
 QUESTIONS = f"""
+bodies AS (
+  SELECT doc_id, list_concat(
+           [array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:(doc_id % 4 + 1)], ' ')],
+           list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' '))) AS all_bodies
+  FROM documents),
+asked AS (SELECT doc_id, unnest(all_bodies) AS body, CAST(unnest(range(len(all_bodies))) AS INTEGER) AS place FROM bodies),
 questions AS (
-  SELECT doc_id, {pick('doc_id', 'what is ', 'the plan for ', '"', 'how ', 'act_', 'did we settle on ', '', 'docs/', 'tell me: ', 'please discuss ')}
-    || array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:(doc_id % 4 + 1)], ' ')
+  SELECT doc_id, place, {pick('doc_id', 'what is ', 'the plan for ', '"', 'how ', 'act_', 'did we settle on ', '', 'docs/', 'tell me: ', 'please discuss ')}
+    || body
     || {pick('doc_id // 10', '?', '', '"', '.md', ' again', ' 1.2.3', ' 0123456789', ' now')} AS q
-  FROM documents)"""
+  FROM asked)"""
 SQL["route_queries"] = f"""{with_(QUESTIONS)},
 lowered AS (
-  SELECT doc_id, q, trim(lower(q), ' ' || chr(10)) AS l,
+  SELECT doc_id, place, q, trim(lower(q), ' ' || chr(10)) AS l,
          list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '') AS w FROM questions)
-SELECT doc_id, CAST(NOT (
+SELECT doc_id, place, CAST(NOT (
     (starts_with(q, '"') AND ends_with(q, '"')) OR contains(q, '/') OR ends_with(q, '.md') OR ends_with(q, '.py')
     OR regexp_matches(q, 'act_\\d{{1,20}}|\\d{{10,30}}|UC[a-zA-Z0-9_-]{{10,50}}|[a-f0-9]{{24,64}}|\\d+\\.\\d+\\.\\d+')
     OR (len(w) <= 2 AND NOT list_has_any(w, ['what', 'how', 'why', 'when', 'where', 'who', 'which'])))
