@@ -87,13 +87,16 @@ def numbered(df: DataFrame, *order: str, into: str = "_no") -> DataFrame:
     return dealt.join(before, "_block").withColumn(into, F.col("_before") + inside - 1).drop("_block", "_before")
 
 
-def tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
+def tiled(rows: DataFrame, key: str, tile: int, weight: Column | None = None) -> DataFrame:
     """Rows with (low, high), the pairs of tiles of their group that they are in, and `own`, their tile.
 
+    A tile has about `tile` rows, or rows of about so much weight together, which is a whole number for each row.
+
     A group of k tiles has k (k + 1) / 2 tasks' worth of pairs, and each of its rows is in k of them.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    counts = counts.select(key, F.ceil(F.col("_n") / F.lit(float(tile))).alias("_k"))
+    held = F.sum(F.lit(1) if weight is None else weight).alias("_held")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), held).where(F.col("_n") > 1)
+    counts = counts.select(key, F.ceil(F.col("_held") / F.lit(float(tile))).alias("_k"))
     rows = rows.join(counts, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_k")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
     return rows.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_other", "_k")

@@ -46,10 +46,12 @@ PLANES, LANES = 3, -(-COORDINATES // 64)
 MOST_APART = 50
 #: Turns with pivots go on while more than one node in so many moves.
 FEW = 20
-#: Nodes of a bucket that a task holds at a time are at most twice so many.
+#: A task holds two tiles of a bucket at a time: about so many nodes each, and so many bytes of their sets, but one
+#: set more at most.
 TILE = 2048
-KEPT_WORDS = 400_000
-BATCH_BYTES = 4_000_000
+TILE_BYTES = 32 << 20
+KEPT_WORDS = 200_000
+BATCH_BYTES = 2_000_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -235,6 +237,15 @@ def _alike(pairs: DataFrame, state: DataFrame, least: float) -> DataFrame:
     )
 
 
+def _sets_in(column: pa.Array) -> list[np.ndarray]:
+    """The set in each value, read in the column's own memory."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, places, values = column.buffers()
+    places = np.frombuffer(places, width)[column.offset : column.offset + len(column) + 1] // 4
+    values = np.frombuffer(values, np.uint32, int(places[-1])) if places[-1] else np.zeros(0, np.uint32)
+    return [values[a:b] for a, b in zip(places.tolist(), places[1:].tolist())]
+
+
 def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is large enough."""
     both = np.concatenate([x, y])
@@ -251,8 +262,10 @@ def checked(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs_ = zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
-            alike = [_similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in pairs_]
+            if not len(batch):
+                continue
+            pairs_ = zip(_sets_in(batch.column(len(kept))), _sets_in(batch.column(len(kept) + 1)))
+            alike = [_similar(x, y, least) for x, y in pairs_]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)], names=kept).filter(pa.array(alike, pa.bool_()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
@@ -270,7 +283,9 @@ def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
 def _turn(buckets: DataFrame, state: DataFrame, sets: DataFrame, least: float, turn: int) -> DataFrame:
     """Accepted pairs of a node and the pivot of one of its buckets."""
     order = F.xxhash64("node", F.lit(turn))
-    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node")).alias("p")).select("bucket", F.col("p.node").alias("b"))
+    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node")).alias("p"))
+    # Written first: a join with a plain shuffle on either side is split where a bucket is large.
+    pivots = stage(pivots.select("bucket", F.col("p.node").alias("b")), "pivots")
     stars = (
         buckets.join(pivots, "bucket").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
     )
@@ -279,18 +294,28 @@ def _turn(buckets: DataFrame, state: DataFrame, sets: DataFrame, least: float, t
     return stage(checked(one.select("a", "p.b", "p.ca", "p.cb"), sets, least), "accepted")
 
 
-def _links_of_group(table: dict[str, list], least: float) -> list[tuple[bytes, bytes, bytes, bytes]]:
-    """Accepted pairs of nodes of one bucket in different components, no more than join what they join."""
+def _links_of_group(parts: list[pa.RecordBatch], least: float) -> list[tuple[bytes, bytes, bytes, bytes]]:
+    """Accepted pairs of nodes of one bucket in different components, no more than join what they join.
+
+    The sets stay in the batches that they came in.
+    """
+    table = pa.Table.from_batches([part.drop_columns(["elements"]) for part in parts]).combine_chunks()
+    nodes, named = table["node"].to_pylist(), table["component"].to_pylist()
     names: dict[bytes, int] = {}
-    component = np.array([names.setdefault(c, len(names)) for c in table["component"]])
+    component = np.array([names.setdefault(c, len(names)) for c in named])
     if len(names) < 2:
         return []
-    size = np.array(table["size"])
+
+    def matrix(name: str, *shape: int) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy().reshape(len(component), *shape)
+
+    size, own = table["size"].to_numpy(), table["own"].to_numpy()
     # Unsigned: numpy counts the bits of absolute values.
-    sketch = np.array(table["sketch"], np.int64).view(np.uint64).reshape(len(component), PLANES, LANES)
-    bands, own = np.array(table["bands"], np.int64), np.array(table["own"])
-    band = int(np.flatnonzero(bands[0] == table["bucket"])[0])
-    two_tiles = table["low"] != table["high"]
+    sketch = matrix("sketch", PLANES, LANES).view(np.uint64)
+    bands = matrix("bands", BANDS)
+    bucket, low_tile, high_tile = (table[c][0].as_py() for c in ("bucket", "low", "high"))
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    two_tiles = low_tile != high_tile
     joined = list(range(len(names)))
 
     def root(c: int) -> int:
@@ -298,7 +323,7 @@ def _links_of_group(table: dict[str, list], least: float) -> list[tuple[bytes, b
             c = joined[c] = joined[joined[c]]
         return c
 
-    sets = [np.frombuffer(e, np.uint32) for e in table["elements"]]
+    sets = [x for part in parts for x in _sets_in(part.column("elements"))]
     found = []
     for low in range(0, len(component), 256):
         block = slice(low, low + 256)
@@ -316,7 +341,7 @@ def _links_of_group(table: dict[str, list], least: float) -> list[tuple[bytes, b
             a, b = root(component[x]), root(component[y])
             if a != b and _similar(sets[x], sets[y], least):
                 joined[max(a, b)] = min(a, b)
-                found.append(tuple(table[c][k] for c, k in (("node", x), ("node", y), ("component", x), ("component", y))))
+                found.append((nodes[x], nodes[y], named[x], named[y]))
     return found
 
 
@@ -325,16 +350,18 @@ def _rest(buckets: DataFrame, state: DataFrame, profiles: DataFrame, least: floa
 
     Pairs are looked at in tiles of a bucket, in tasks that stream over sorted rows, and only accepted ones leave.
     """
-    named = stage(buckets.join(state.select("node", "component"), "node"), "named")
+    named = stage(buckets.join(state.select("node", "component", F.col("size").alias("_size")), "node"), "named")
     mixed_ = named.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     named = named.join(mixed_.where(F.col("_low") != F.col("_high")).select("bucket"), "bucket")
-    tiles = tiled(stage(named, "mixed-buckets"), "bucket", TILE).join(profiles, "node")
+    held = F.greatest(F.col("_size") * 4, F.lit(TILE_BYTES // TILE))
+    tiles = tiled(stage(named, "mixed-buckets"), "bucket", TILE_BYTES, held).drop("_size").join(profiles, "node")
     keys = ["bucket", "low", "high"]
     columns = [*keys, "own", "node", "component", "size", "sketch", "bands", "elements"]
     tiles = tiles.select(*columns).repartition(partitions(tiles.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[str, list] = {}
+        group: list[pa.RecordBatch] = []
+        held: tuple[int, ...] | None = None
 
         def given() -> Iterator[pa.RecordBatch]:
             links = _links_of_group(group, least) if group else []
@@ -347,14 +374,11 @@ def _rest(buckets: DataFrame, state: DataFrame, profiles: DataFrame, least: floa
             for low, high in zip(edges, edges[1:]):
                 if high == low:
                     continue
-                key = dict(zip(keys, ids[low].tolist()))
-                part = {c: batch.column(k + 3).slice(low, high - low).to_pylist() for k, c in enumerate(columns[3:])}
-                if group and all(group[k] == v for k, v in key.items()):
-                    for c, values in part.items():
-                        group[c].extend(values)
-                else:
+                key = tuple(ids[low].tolist())
+                if key != held:
                     yield from given()
-                    group = key | part
+                    group, held = [], key
+                group.append(batch.slice(low, high - low))
         yield from given()
 
     return stage(tiles.mapInArrow(run, "a binary, b binary, ca binary, cb binary"), "accepted")
@@ -393,7 +417,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, weighted: bool = Fals
     state = _joined(state, accepted)
     owned = nodes.select("node", "least").join(state.select("node", "component"), "node", "left")
     owned = owned.withColumn("component", F.coalesce("component", "node"))
-    names = owned.groupBy("component").agg(F.min("least").alias("class_id"))
+    names = stage(owned.groupBy("component").agg(F.min("least").alias("class_id")), "names")
     classes = owned.join(names, "component").select("node", "component", "class_id")
     without = rows.where(F.col("node").isNull()).withColumns({"component": F.col("node"), "class_id": F.col("doc_id")})
     classed = rows.where(F.col("node").isNotNull()).join(classes, "node")
