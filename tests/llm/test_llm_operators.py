@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
+from palimpsest.llm import chat, common, dart_minhash, hmm, line_dedup, merkle, mixing, packing, prefix_tokens, projection_forest, toxicity
 from palimpsest.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id long, _row string, node string, _score double, _lines long"
@@ -514,6 +515,32 @@ def test_near_copies(spark, none):
     assert dart_minhash.near_duplicates(none).count() == 0 and dart_minhash.one_of_each(none).count() == 0
 
 
+def test_tiles_are_bounded_by_weight(spark):
+    rows = [(1, f"n{k}".encode(), 50 if k % 10 == 0 else 1) for k in range(400)] + [(2, b"x", 5), (2, b"y", 5), (3, b"z", 9)]
+    frame = spark.createDataFrame(rows, "bucket long, node binary, held int")
+    found = common.tiled(frame, "bucket", 200, F.col("held")).collect()
+    assert {r.bucket for r in found} == {1, 2}  # a row alone has no pairs
+    own = collections.Counter()
+    for node, tile, held in {(bytes(r.node), r.own, r.held) for r in found if r.bucket == 1}:
+        own[tile] += held
+    assert len(own) == -(-(40 * 50 + 360) // 200) and max(own.values()) < 600
+    met = collections.defaultdict(set)
+    for r in found:
+        met[r.bucket, r.low, r.high].add((bytes(r.node), r.own))
+    pairs = collections.Counter(
+        (b, x, y) for (b, low, high), held in met.items() for (x, i), (y, j) in itertools.combinations(sorted(held), 2) if low == high or i != j
+    )
+    assert set(pairs.values()) == {1} and len(pairs) == 400 * 399 // 2 + 1
+
+
+def test_near_copies_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "TILE_BYTES", 1 << 14)
+    monkeypatch.setattr(dart_minhash, "FEW", 0)  # one turn with pivots, all others in tiles
+    rows = varied_rows()
+    found = dart_minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in found) == plain_classes(rows)
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_signatures_estimate_the_similarity(weighted):
     generator = random.Random(1)
