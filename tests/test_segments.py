@@ -81,3 +81,10 @@ def test_a_page_reads_no_text(spark, tmp_path):
     index = segments.open_index(spark, str(tmp_path / "index")).add(rows, "id", "content")
     page = search.stored_page(index, rows, known, "red fox", 10, agent="ANN", date_from="2023-01-01")
     assert page.count() == 10 and "content" not in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    built = fts.build_postings(table(spark, {1: "red fox red", 2: None}), "id", "content", positions=True)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the one that table() asks for
+    assert sorted(tuple(r) for r in built.collect()) == [(1, 3, "fox", 1, 1, [1]), (1, 3, "red", 2, 0, [0, 2])]
