@@ -83,6 +83,25 @@ def test_a_page_reads_no_text(spark, tmp_path):
     assert page.count() == 10 and "content" not in page._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parts_of_a_batch_keep_every_posting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("palimpsest.operators.blocks.BATCH_TOKENS", 40)
+    rng = random.Random(7)
+    texts = {i: sentence(rng) for i in range(200)} | {200: "red fox " * 100, 201: None}
+    index = segments.open_index(spark, str(tmp_path)).add(table(spark, texts), "id", "content", bucket_rows=90)
+    gone = [i for i in range(200) if i % 3 == 0] + list(range(30, 60))
+    index = index.delete(spark.createDataFrame([(i,) for i in gone], "id long"))
+    merged = index.merge(bucket_rows=50)
+    check(spark, merged, {i: t for i, t in texts.items() if i not in gone})
+    assert not set(gone) & {r.row_id for r in merged.postings().select("row_id").collect()}
+
+
+def test_a_term_of_many_rows_is_few_stored_rows(spark, tmp_path):
+    texts = {i: " ".join(f"w{j}" for j in range(50)) for i in range(300)}
+    segments.open_index(spark, str(tmp_path)).add(table(spark, texts), "id", "content")
+    stored = spark.read.parquet(f"{tmp_path}/[bp]*s/segment=1").count()
+    assert stored <= 51 * 2  # 51 * 300 as one row for each term and row
+
+
 def test_postings_are_counted_without_a_shuffle(spark):
     built = fts.build_postings(table(spark, {1: "red fox red", 2: None}), "id", "content", positions=True)
     plan = built._jdf.queryExecution().executedPlan().toString()
