@@ -50,3 +50,9 @@ def test_the_last_second_is_silenced(spark):
 def test_no_notes(spark):
     assert capture.capture_answers(spark.createDataFrame([], SCHEMA)).count() == 0
     assert capture.drop_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_turn_moves_narrow_rows(spark):
+    keyed = capture._keyed(spark.createDataFrame(made(50, 3), SCHEMA)).collect()
+    assert {len(bytes(r["digest"]) if not isinstance(r["digest"], str) else r["digest"].encode()) for r in keyed} <= {0, 16}
+    assert len({bytes(r["digest"]) for r in keyed}) == len({n[1] for n in made(50, 3)})
