@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 #: A word is a run of characters other than ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session names none; either side holds a few.
+ARROW_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,7 +55,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table to the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    unnamed = spark.conf.get(bound, None) is None
+    if unnamed:
+        spark.conf.set(bound, str(ARROW_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if unnamed:
+            spark.conf.unset(bound)
     return spark.read.schema(df.schema).parquet(path)
 
 

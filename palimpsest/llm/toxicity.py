@@ -269,8 +269,11 @@ def _number_type(rows: int) -> str:
     return "<u2" if rows <= 2**16 else "<i4"
 
 
-def _holders(rows: DataFrame, numbers: Broadcast) -> DataFrame:
-    """(term, rows): for some of the terms' rows at a time, their numbers."""
+def _holders(rows: DataFrame, numbers: Broadcast, marks: Broadcast) -> DataFrame:
+    """(term, rows, n, k): for some of the terms' rows at a time, their numbers, how many, and how many labelled 1.
+
+    All in one step: two steps of Python in a task have a worker each, and executors keep both and what they held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order = numbers.value
@@ -283,12 +286,14 @@ def _holders(rows: DataFrame, numbers: Broadcast) -> DataFrame:
                 terms = np.frombuffer(b"".join(blobs), np.uint32)
                 by_term = np.argsort(terms, kind="stable")
                 distinct, starts = np.unique(terms[by_term], return_index=True)
-                owners = owner[by_term].astype(kind).tobytes()
-                edges = pa.array(np.append(starts, len(terms)) * kind.itemsize, pa.int32())
-                lists = pa.BinaryArray.from_buffers(pa.binary(), len(distinct), [None, edges.buffers()[1], pa.py_buffer(owners)])
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), lists], names=["term", "rows"])
+                owner, ends = owner[by_term], np.append(starts, len(terms))
+                toxic = np.append(0, np.cumsum(marks.value[owner])).astype(np.int64)
+                edges, owners = pa.array(ends * kind.itemsize, pa.int32()), pa.py_buffer(owner.astype(kind).tobytes())
+                lists = pa.BinaryArray.from_buffers(pa.binary(), len(distinct), [None, edges.buffers()[1], owners])
+                columns = [pa.array(distinct.astype(np.int64)), lists, pa.array(np.diff(ends)), pa.array(np.diff(toxic[ends]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "rows", "n", "k"])
 
-    return rows.select("row", "terms").mapInArrow(run, "term long, rows binary")
+    return rows.select("row", "terms").mapInArrow(run, "term long, rows binary, n long, k long")
 
 
 def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_rows: int) -> np.ndarray:
@@ -297,15 +302,8 @@ def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_ro
     order = np.argsort(numbers)
     shared = spark.sparkContext.broadcast((numbers[order], order))
     marks = spark.sparkContext.broadcast(labels)
-    holders, kind = _holders(rows, shared), _number_type(len(numbers))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
-            sums = [pa.array([f(x) for x in lists], pa.int64()) for f in (len, lambda x: int(marks.value[x].sum()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], names=["term", "n", "k"])
-
-    often = holders.mapInArrow(counted, "term long, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    holders, kind = _holders(rows, shared, marks), _number_type(len(numbers))
+    often = holders.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     often = stage(often.where(F.col("n") >= min_rows), "toxicity-often")
     rule = Clearness.of(len(labels), int(labels.sum()), often.count())
     off = F.abs(F.col("k") - F.col("n") * rule.share) / F.sqrt(F.col("n") * (rule.share * (1 - rule.share)))
@@ -314,7 +312,7 @@ def _kept_terms(rows: DataFrame, numbers: np.ndarray, labels: np.ndarray, min_ro
         few_toxic, few_rows = rule.able()
         able = stage(often.where((F.col("k") >= few_toxic) | (F.col("n") >= few_rows)).select("term"), "toxicity-able")
         # Of each term at most the numbers of all rows learned from, which are bounded.
-        whole = holders.join(able, "term").groupBy("term").agg(F.collect_list("rows").alias("rows"))
+        whole = holders.select("term", "rows").join(able, "term").groupBy("term").agg(F.collect_list("rows").alias("rows"))
         tiles = tiled(stage(whole.select(F.lit(0).alias("all"), F.col("term").alias("node"), "rows"), "toxicity-able"), "all", TILE)
 
         def compared(table: pa.Table) -> pa.Table:

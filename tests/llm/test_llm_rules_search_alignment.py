@@ -271,6 +271,32 @@ def test_terms_counted_in_tasks_equal_one_process(spark):
     assert sum(right) > 0.97 * len(right)
 
 
+def test_one_python_step_in_a_task(spark, monkeypatch):
+    """Two steps of Python in one task have a worker each, which the executor keeps with what it held."""
+    plans, write = [], toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} end") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(200)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, epochs=1)
+    steps = [part.count("MapInArrow") for plan in plans for part in plan.split("Exchange")]
+    assert max(steps) == 1
+
+
+def test_batches_of_written_tables_are_bounded(spark):
+    from palimpsest.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    found = [r.n for r in common.stage(texts.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) >= 40_000_000 and max(found) <= 2 * common.ARROW_BYTES
+    assert spark.conf.get(bound) == before
+
+
 def test_few_documents_under_one_label_id(spark):
     frame = spark.createDataFrame([(k // 30 + 1, f"text {k} {'bad' if k % 2 else 'good'}", k % 2) for k in range(300)], "doc_id long, text string, toxic int")
     machine = toxicity.fit(frame.drop("toxic"), frame.select("doc_id", "toxic").distinct(), most_rows=100)
