@@ -4,10 +4,9 @@ Every text is tokenised whole by both: A, a byte-level vocabulary, reads a space
 pieces, adds that space itself. Offsets where a token of A and one of B both end cut a text's tokens into groups, and the
 two tokens that end there are linked.
 
-Where both tokenizers begin a token marked as following a space, and what comes before ends at the same byte in both (an
-anchor, verified against the bytes of all tokens), the text is cut into windows, mostly of a word each. A window is
-two tuples of ids, and its groups and links depend on these alone, so each distinct window is aligned once and then looked
-up. Windows keep the text of their groups and their links as bytes, and a document is put together from those.
+A text's offsets are marked where tokens of B end, and read where tokens of A end, so groups and links are array
+operations over the whole text and no token is looked at alone. The bytes of all tokens of both sides are held against
+the text. The text of the groups is laid out in one piece, from the decimal names of all ids.
 
 How often a pair of ids is linked is counted over all texts in two steps: links are counted in each chunk, documents of
 one task with about so many bytes, which names its distinct pairs once, and the chunks' counts are summed by pair. What is
@@ -25,7 +24,6 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -41,9 +39,6 @@ from palimpsest.llm.packing import TextIds
 MARK = "▁"
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4_000_000
-#: Windows that a worker keeps in each of two generations, and tokens in those that are kept.
-KEPT_WINDOWS = 100_000
-LONGEST_KEPT = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,25 +48,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Vocabulary:
-    """The bytes of each token, their number, and whether a token begins with a space."""
+class Strings:
+    """The byte strings of ids, laid end to end."""
 
-    def __init__(self, tokens: dict[int, bytes]) -> None:
-        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.sizes = np.array([len(t) for t in self.tokens])
-        self.spaced = np.array([t.startswith(b" ") for t in self.tokens])
-        self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)
+    def __init__(self, strings: list[bytes]) -> None:
+        self.sizes = np.array([len(x) for x in strings])
+        self.letters = np.frombuffer(b"".join(strings), np.uint8)
         self.offsets = self.sizes.cumsum() - self.sizes
 
-    def spells(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, text: np.ndarray) -> bool:
-        """Whether the bytes of the tokens, laid at their starts, are the text."""
-        if not len(ids) or starts[-1] + sizes[-1] != len(text):
-            return False
-        return np.array_equal(self.letters[np.repeat(self.offsets[ids] - starts, sizes) + np.arange(len(text))], text)
+    def of(self, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The strings of the ids, whose sizes and ends are given, as one."""
+        if not len(ids):
+            return self.letters[:0]
+        at = np.repeat(self.offsets[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.letters[at]
 
 
 class Aligner:
-    """Both tokenizers, and the windows aligned so far. Each worker holds one."""
+    """Both tokenizers, the bytes of their tokens and the decimal names of ids. Each worker holds one."""
 
     def __init__(self, model_a: str, model_b: str, ranks_a: str | None = None) -> None:
         import sentencepiece
@@ -81,85 +76,45 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_b)
         letters = byte_letters()
         entries = self.a.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes_a = Vocabulary({i: bytes(letters[c] for c in t) for t, i in entries.items() if all(c in letters for c in t)})
-        pieces = {i: self.b.id_to_piece(i) for i in range(self.b.get_piece_size())}
-        self.bytes_b = Vocabulary(
-            {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces.items()}
+        tokens = {i: bytes(letters[c] for c in t) for t, i in entries.items() if all(c in letters for c in t)}
+        self.bytes_a = Strings([tokens.get(i, b"") for i in range(max(tokens) + 1)])
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = Strings(
+            [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         )
-        self.sizes_a, self.sizes_b = self.bytes_a.sizes.tolist(), self.bytes_b.sizes.tolist()
-        self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
-        # When the newer generation is full it becomes the older, so frequent windows stay.
-        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-        self.older: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-
-    def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        """The groups of a window as text, and its links as pairs of 32-bit ids."""
-        found = self.older.get(key) or self._aligned(key)
-        if len(key[0]) + len(key[1]) <= 4 * LONGEST_KEPT:
-            if len(self.windows) >= KEPT_WINDOWS:
-                self.older, self.windows = self.windows, {}
-            self.windows[key] = found
-        return found
-
-    def _aligned(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        a, b = memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist()
-        names = self.names
-        if len(a) == 1 or len(b) == 1:  # one group
-            return ",".join([names[i] for i in a]) + "|" + ",".join([names[i] for i in b]), key[0][-4:] + key[1][-4:]
-        size_a, size_b = self.sizes_a, self.sizes_b
-        groups, links = [], []
-        at_a = at_b = low_a = low_b = ahead = 0  # bytes that A is ahead of B
-        while at_a < len(a):  # both sides have the same bytes, so they end together
-            ahead = size_a[a[at_a]] - size_b[b[at_b]]
-            while ahead:
-                if ahead < 0:
-                    at_a += 1
-                    ahead += size_a[a[at_a]]
-                else:
-                    at_b += 1
-                    ahead -= size_b[b[at_b]]
-            links += a[at_a], b[at_b]
-            at_a, at_b = at_a + 1, at_b + 1
-            groups.append(",".join([names[i] for i in a[low_a:at_a]]) + "|" + ",".join([names[i] for i in b[low_b:at_b]]))
-            low_a, low_b = at_a, at_b
-        return ";".join(groups), struct.pack(f"<{len(links)}I", *links)
-
-    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[int]] | None:
-        """The ids of both, and the places in either where windows begin. None if a side does not spell the text."""
+        self.names = Strings([b"%d," % i for i in range(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))])
+
+    def align(self, text: str) -> tuple[int, int, str, bytes]:
+        """(tokens of A, tokens of B, groups as text, links as pairs of 32-bit ids) of a text."""
+        none = 0, 0, "", b""
         if not text:
-            return None
+            return none
         whole = np.frombuffer((" " + text).encode(), np.uint8)
-        a, b = self.a.of(" " + text).astype("<u4", copy=False), np.array(self.b.encode(text, num_threads=1), "<u4")
+        a, b = self.a.of(" " + text), np.asarray(self.b.encode_as_numpy(text, num_threads=1))
         sizes_a, sizes_b = self.bytes_a.sizes[a], self.bytes_b.sizes[b]
-        starts_a, starts_b = sizes_a.cumsum() - sizes_a, sizes_b.cumsum() - sizes_b
-        if not self.bytes_a.spells(a, sizes_a, starts_a, whole) or not self.bytes_b.spells(b, sizes_b, starts_b, whole):
-            return None
-        spaced_a, spaced_b = np.flatnonzero(self.bytes_a.spaced[a]), np.flatnonzero(self.bytes_b.spaced[b])
-        begins = np.zeros(len(whole), bool)
-        begins[starts_a[spaced_a]] = True
-        anchors_b = spaced_b[begins[starts_b[spaced_b]]]
-        begins[:] = False
-        begins[starts_b[anchors_b]] = True
-        anchors_a = spaced_a[begins[starts_a[spaced_a]]]
-        # The first window begins with the text, whether the tokens there are marked or not.
-        places = [[0, *at[at > 0].tolist(), n] for at, n in ((anchors_a, len(a)), (anchors_b, len(b)))]
-        return a, b, *places
-
-    def align(self, text: str) -> tuple[int, int, str, bytes]:
-        """(tokens of A, tokens of B, groups, links) of a text."""
-        found = self.cut(text)
-        if found is None:
-            return 0, 0, "", b""
-        a, b, at_a, at_b = found
-        bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        kept, slow = self.windows.get, self.window
-        low_a = low_b = 0
-        parts = []
-        for high_a, high_b in zip(at_a[1:], at_b[1:]):
-            key = bytes_a[4 * low_a : 4 * high_a], bytes_b[4 * low_b : 4 * high_b]
-            parts.append(kept(key) or slow(key))
-            low_a, low_b = high_a, high_b
-        return len(a), len(b), ";".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        ends_a, ends_b = sizes_a.cumsum(), sizes_b.cumsum()
+        for strings, ids, sizes, ends in ((self.bytes_a, a, sizes_a, ends_a), (self.bytes_b, b, sizes_b, ends_b)):
+            if not len(ids) or ends[-1] != len(whole) or not np.array_equal(strings.of(ids, sizes, ends), whole):
+                return none
+        marked = np.zeros(len(whole) + 1, bool)
+        marked[ends_b] = True
+        last_a = np.flatnonzero(marked[ends_a])  # the last tokens of the groups
+        marked[:] = False
+        marked[ends_a[last_a]] = True
+        last_b = np.flatnonzero(marked[ends_b])
+        links = np.stack([a[last_a], b[last_b]], 1).astype("<u4").tobytes()
+        # Places of tokens where each group has its tokens of A, then those of B.
+        in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        place_a = np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)
+        place_b = np.arange(len(b)) + np.repeat(last_a + 1, in_b)
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        sizes = self.names.sizes[ids]
+        ends = sizes.cumsum()
+        groups = self.names.of(ids, sizes, ends)
+        groups[ends[place_a[last_a]] - 1] = ord("|")
+        groups[ends[place_b[last_b]] - 1] = ord(";")
+        return len(a), len(b), groups[:-1].tobytes().decode("ascii"), links
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}

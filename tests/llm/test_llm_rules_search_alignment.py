@@ -251,6 +251,16 @@ def test_alignment_of_random_strings():
         assert found[3] == np.array([(x[-1], y[-1]) for x, y in groups], "<u4").tobytes()
 
 
+def test_aligner_keeps_nothing_of_texts():
+    """A text costs the same whether its words were met before or not."""
+    aligner, plain = token_alignment.Aligner(*FILES), PlainTokens()
+    text = "\n".join(" ".join(f"wo{i * 7919:x}rd,{j}" for i in range(40 * j, 40 * j + 40)) for j in range(50))
+    sizes = {n: len(v) for n, v in vars(aligner).items() if hasattr(v, "__len__")}
+    a, b, groups = plain.groups(text)
+    assert aligner.align(text)[2] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    assert {n: len(v) for n, v in vars(aligner).items() if hasattr(v, "__len__")} == sizes
+
+
 # --- terms of the toxicity classifier counted in tasks ------------------------------------
 
 
